@@ -26,8 +26,17 @@ WINDOW w AS (PARTITION BY text_sha256 ORDER BY len DESC, doc_id)
 """
 
 
+def op9_bpe(spark, sf_dir, vocabulary="byte_bpe_50k.tiktoken"):
+    import public_tokenizers
+
+    from .bpe import digests
+
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path(vocabulary), public_tokenizers.PATTERN)
+
+
 def queries() -> dict:
-    return {"op10_exact_dedup": op10_exact_dedup}
+    found = [op9_bpe, op10_exact_dedup]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict:
