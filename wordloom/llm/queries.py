@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from .common import table
+from pyspark.sql import functions as F
+
+from .common import fold, table
 
 
 def op10_exact_dedup(spark, sf_dir):
@@ -26,6 +28,15 @@ WINDOW w AS (PARTITION BY text_sha256 ORDER BY len DESC, doc_id)
 """
 
 
+def op3_language_id(spark, sf_dir):
+    from .language_id import predicted, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.where(fold(F.col("doc_id"), 4) != 2).select("doc_id", "text", "lang"))
+    out = predicted(docs, model)
+    return out.withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
+
+
 def op9_bpe(spark, sf_dir, vocabulary="byte_bpe_50k.tiktoken"):
     import public_tokenizers
 
@@ -35,7 +46,7 @@ def op9_bpe(spark, sf_dir, vocabulary="byte_bpe_50k.tiktoken"):
 
 
 def queries() -> dict:
-    found = [op9_bpe, op10_exact_dedup]
+    found = [op3_language_id, op9_bpe, op10_exact_dedup]
     return {f.__name__: f for f in found}
 
 
