@@ -28,6 +28,12 @@ WINDOW w AS (PARTITION BY text_sha256 ORDER BY len DESC, doc_id)
 """
 
 
+def op1_jaccard_join(spark, sf_dir):
+    from .jaccard_join import similar_groups
+
+    return similar_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_language_id(spark, sf_dir):
     from .language_id import predicted, train
 
@@ -46,7 +52,7 @@ def op9_bpe(spark, sf_dir, vocabulary="byte_bpe_50k.tiktoken"):
 
 
 def queries() -> dict:
-    found = [op3_language_id, op9_bpe, op10_exact_dedup]
+    found = [op1_jaccard_join, op3_language_id, op9_bpe, op10_exact_dedup]
     return {f.__name__: f for f in found}
 
 
