@@ -58,6 +58,27 @@ def fold(doc_id, modulus: int):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+#: Cells for each wanted key and in all: the bitmaps that are broadcast take at most 32 MB.
+CELLS_PER_KEY, MOST_CELLS = 16, 1 << 28
+
+
+def rows_of(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of df whose key is in wanted, a durable table of that one column.
+
+    A bitmap of the wanted keys' hash cells, of bounded size, goes to every executor first, so that of
+    df's rows only the wanted ones and some false alarms are shuffled for the join.
+    """
+    n, cells = wanted.count(), 1 << 15
+    while cells < min(MOST_CELLS, CELLS_PER_KEY * n):
+        cells *= 2
+    cell = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(cells))
+    bits = wanted.select(cell.alias("cell")).groupBy(F.expr("cell div 32768").alias("bucket")).agg(F.bitmap_construct_agg(F.expr("cell % 32768")).alias("bits"))
+    marked = df.withColumn("cell", cell).join(F.broadcast(durable(bits)), F.expr("cell div 32768 = bucket"))
+    byte = F.conv(F.hex(F.expr("substring(bits, cast((cell % 32768) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    maybe = marked.where(byte.bitwiseAND(F.pow(F.lit(2), F.expr("cell % 8")).cast("int")) != 0)
+    return maybe.drop("cell", "bucket", "bits").join(wanted, key, "left_semi")
+
+
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     """(a, b) links to (node, component): the smallest node that links reach.
 

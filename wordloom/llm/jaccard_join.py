@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, durable, partitions, small_batches, written
+from .common import components, durable, partitions, rows_of, small_batches, written
 from .words import bounds, hashes, mixed, pieces, shingles, utf8
 
 WIDTH = 5
@@ -152,12 +152,25 @@ def classes(docs: DataFrame, width: int) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, cls long, n_shingles long")
 
 
+def packed(keys: np.ndarray) -> bytes:
+    """The upper six bytes of sorted keys, byte by byte: the first planes are long runs that compress."""
+    return np.ascontiguousarray(keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
+
+
+def unpacked(planes: bytes) -> np.ndarray:
+    own = np.frombuffer(planes, np.uint8).reshape(6, -1)
+    out = np.zeros((own.shape[1], 8), np.uint8)
+    out[:, :6] = own.T
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
 BUCKETS = "bucket int, keys binary, units binary, who binary, cls binary, facts binary"
 
 
 def _dealt(keys, units, who, cls, facts, buckets):
     """A block's keys as one packed row for each bucket. Keys that many classes of the block have are hot
     already: one of them goes out, marked by units of 0, and the others' units are summed here."""
+    keys = keys & np.uint64(0xFFFFFFFFFFFF0000)  # as they travel
     order = np.argsort(keys, kind="stable")
     keys, units, who = keys[order], units[order], who[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
@@ -175,7 +188,7 @@ def _dealt(keys, units, who, cls, facts, buckets):
         i, j = edge[b], edge[b + 1]
         if i < j:
             there, at = np.unique(who[i:j], return_inverse=True)
-            rows.append((b, keys[i:j].tobytes(), units[i:j].astype(np.uint8).tobytes(), at.astype(np.uint32).tobytes(), cls[there].tobytes(), facts[there].tobytes()))
+            rows.append((b, packed(keys[i:j]), units[i:j].astype(np.uint8).tobytes(), at.astype(np.uint16).tobytes(), cls[there].tobytes(), facts[there].tobytes()))
     return rows, local
 
 
@@ -211,7 +224,7 @@ def _blocks(items, keys_of, buckets):
         seen[same] = facts
         parts.append((keys, units))
         size += len(s)
-        if size > BLOCK:
+        if size > BLOCK or len(parts) > 65_000:
             yield from flush()
             seen, parts, size = {}, [], 0
     if parts:
@@ -248,14 +261,14 @@ def _matched(single: bool):
                 facts = np.frombuffer(f, np.int32).reshape(-1, 3)
                 out.append((np.frombuffer(c, np.int64), None, np.frombuffer(u, np.int64), facts[:, 2], facts[:, 0], None))
         else:
-            keys = np.concatenate([np.frombuffer(x, np.uint64) for x in col["keys"]])
+            keys = np.concatenate([unpacked(x) for x in col["keys"]])
             units = np.concatenate([np.frombuffer(x, np.uint8) for x in col["units"]])
             names = [np.frombuffer(x, np.int64) for x in col["cls"]]
             facts = np.concatenate([np.frombuffer(x, np.int32).reshape(-1, 3) for x in col["facts"]])
             shift = np.cumsum([0] + [len(x) for x in names[:-1]])
             all_cls, first, index = np.unique(np.concatenate(names), return_index=True, return_inverse=True)
             facts = facts[first]
-            who = index[np.concatenate([np.frombuffer(x, np.uint32) + s for x, s in zip(col["who"], shift, strict=True)])]
+            who = index[np.concatenate([np.frombuffer(x, np.uint16) + s for x, s in zip(col["who"], shift, strict=True)])]
             del col, names
             order = np.lexsort((who, keys))
             keys, units, who = keys[order], units[order], who[order]
@@ -328,8 +341,8 @@ def stored_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             found = [(same, s) for _, same, s in sets_of(batch.column(0), width)]
             yield pa.RecordBatch.from_arrays([_signed([x for x, _ in found]), pa.array([s.tobytes() for _, s in found], pa.binary())], ["cls", "shingles"])
 
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(wanted, "doc_id", "left_semi").select("text").mapInArrow(run, "cls long, shingles binary")
-    return written(rows.dropDuplicates(["cls"]))
+    rows = rows_of(docs.selectExpr("cast(doc_id as long) doc_id", "text"), "doc_id", wanted).dropDuplicates(["doc_id", "text"])
+    return written(rows.select("text").mapInArrow(run, "cls long, shingles binary"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -426,7 +439,7 @@ def _forest(table: pa.Table) -> pa.Table:
 
 
 def _buckets(spark, shingles_in_all: int) -> int:
-    return max(partitions(spark), int(shingles_in_all * 0.7 * 12 / BUCKET_BYTES))
+    return max(partitions(spark), int(shingles_in_all * 0.7 * 8 / BUCKET_BYTES))
 
 
 def linked_classes(docs: DataFrame, slim: DataFrame, width: int = WIDTH) -> DataFrame:
