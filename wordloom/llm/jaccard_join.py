@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, durable, partitions, rows_of, small_batches, written
+from .common import components, durable, partitions, release, rows_of, small_batches, written
 from .words import bounds, hashes, mixed, pieces, shingles, utf8
 
 WIDTH = 5
@@ -48,7 +48,7 @@ FEW = 16
 BLOCK, BUCKET_BYTES = 1_500_000, 8 << 20
 
 #: Families of near copies: pivots and rounds of comparing with them, and members of a block after that.
-PIVOTS, ROUNDS, SIDE = 16, 2, 512
+PIVOTS, ROUNDS, SIDE = 4, 2, 512
 
 #: Lower ends of the windows: each set is at least as large as its window's lower end.
 WINDOWS = [1, 2, 3, 4, 6, 9, 14]
@@ -339,7 +339,7 @@ def stored_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             found = [(same, s) for _, same, s in sets_of(batch.column(0), width)]
-            yield pa.RecordBatch.from_arrays([_signed([x for x, _ in found]), pa.array([s.tobytes() for _, s in found], pa.binary())], ["cls", "shingles"])
+            yield pa.RecordBatch.from_arrays([_signed([x for x, _ in found]), pa.array([packed(s) for _, s in found], pa.binary())], ["cls", "shingles"])
 
     rows = rows_of(docs.selectExpr("cast(doc_id as long) doc_id", "text"), "doc_id", wanted).dropDuplicates(["doc_id", "text"])
     return written(rows.select("text").mapInArrow(run, "cls long, shingles binary"))
@@ -353,7 +353,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             a, b, left, right = (batch.column(i) for i in range(4))
             out = []
             for x, y in zip(left, right, strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = unpacked(x.as_buffer()), unpacked(y.as_buffer())
                 out.append((len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
             out = np.array(out, dtype=np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([a, b, *[pa.array(out[:, i]) for i in range(3)]], ["a", "b", "shared", "size_a", "size_b"])
@@ -405,7 +405,7 @@ def pivot_links(rows: DataFrame, sets: DataFrame) -> list[DataFrame]:
 def _forest(table: pa.Table) -> pa.Table:
     """A spanning forest of the links among the sets of a task."""
     cls = table.column("cls").to_pylist()
-    sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
+    sets = [unpacked(s) for s in table.column("shingles").to_pylist()]
     size = np.array([len(s) for s in sets])
     who = np.repeat(np.arange(len(sets)), size)
     keys = np.concatenate(sets)
@@ -454,6 +454,7 @@ def linked_classes(docs: DataFrame, slim: DataFrame, width: int = WIDTH) -> Data
 
     pairs, hot = candidates(texts.mapInArrow(sign, BUCKETS), False)
     pairs = durable(pairs)
+    release(spark)
     reps = slim.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     touched = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).union(hot.select("cls")).distinct()
     sets = stored_sets(docs, durable(reps.join(touched, "cls", "left_semi").select("doc_id")), width)
@@ -462,18 +463,19 @@ def linked_classes(docs: DataFrame, slim: DataFrame, width: int = WIDTH) -> Data
         of_hot = sets.join(hot.select("cls"), "cls", "left_semi")
 
         def single(batches):
-            items = ((c, np.frombuffer(s.as_buffer(), np.uint64)) for batch in batches for c, s in zip(batch.column(0).to_numpy().view(np.uint64).tolist(), batch.column(1), strict=True))
+            items = ((c, unpacked(s.as_buffer())) for batch in batches for c, s in zip(batch.column(0).to_numpy().view(np.uint64).tolist(), batch.column(1), strict=True))
             yield from _blocks(items, shingle_keys, buckets)
 
         more, hotter = candidates(of_hot.mapInArrow(single, BUCKETS), True)
-        pairs = durable(pairs.union(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        pairs = durable(pairs.union(more))
+        release(spark)
         deep = hotter.where("hot >= need")
 
         def prefix(batches):
             for batch in batches:
                 cls, keys = [], []
                 for c, s in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    s = np.frombuffer(s.as_buffer(), np.uint64)
+                    s = unpacked(s.as_buffer())
                     s = s[: len(s) - -(-3 * len(s) // 4) + 1]
                     keys.append(s)
                     cls.append(np.full(len(s), c, np.int64))
@@ -481,10 +483,27 @@ def linked_classes(docs: DataFrame, slim: DataFrame, width: int = WIDTH) -> Data
                     yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), pa.array(np.concatenate(cls))], ["key", "cls"])
 
         links = pivot_links(of_hot.join(deep.select("cls"), "cls", "left_semi").mapInArrow(prefix, "key long, cls long"), sets)
-    out = verified(pairs, sets).where(LINKED).select("a", "b")
+        release(spark)
+    return spanning_links(pairs, sets, links)
+
+
+def spanning_links(pairs: DataFrame, sets: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """Links, known ones and pairs that verify, which connect whatever all links connect.
+
+    Each class is compared with the smallest of its partners first; of the other pairs only those are
+    verified that are not connected by then.
+    """
+    pairs = durable(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    found = verified(first, sets).where(LINKED).select("a", "b")
     for x in links:
-        out = out.union(x)
-    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        found = found.union(x)
+    found = durable(found)
+    release(pairs.sparkSession)
+    of = components(found)
+    open_ = pairs.join(of.selectExpr("node as a", "component as ca"), "a", "left").join(of.selectExpr("node as b", "component as cb"), "b", "left")
+    open_ = open_.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b").join(first, ["a", "b"], "left_anti")
+    return found.union(durable(verified(open_, sets).where(LINKED).select("a", "b")))
 
 
 def similar_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
