@@ -443,7 +443,7 @@ def _buckets(spark, shingles_in_all: int) -> int:
 
 
 def linked_classes(docs: DataFrame, slim: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(a, b) pairs of classes that link; all links but those between classes linked to a common pivot."""
+    """(node, component) of the classes that link to others."""
     spark = docs.sparkSession
     total = slim.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = _buckets(spark, total)
@@ -488,29 +488,30 @@ def linked_classes(docs: DataFrame, slim: DataFrame, width: int = WIDTH) -> Data
 
 
 def spanning_links(pairs: DataFrame, sets: DataFrame, links: list[DataFrame]) -> DataFrame:
-    """Links, known ones and pairs that verify, which connect whatever all links connect.
+    """(node, component) of known links and of the pairs that verify.
 
     Each class is compared with the smallest of its partners first; of the other pairs only those are
     verified that are not connected by then.
     """
     pairs = durable(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    first = durable(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     found = verified(first, sets).where(LINKED).select("a", "b")
     for x in links:
         found = found.union(x)
     found = durable(found)
     release(pairs.sparkSession)
-    of = components(found)
-    open_ = pairs.join(of.selectExpr("node as a", "component as ca"), "a", "left").join(of.selectExpr("node as b", "component as cb"), "b", "left")
-    open_ = open_.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b").join(first, ["a", "b"], "left_anti")
-    return found.union(durable(verified(open_, sets).where(LINKED).select("a", "b")))
+    of = durable(components(found))
+    other = pairs.join(of.selectExpr("node as a", "component as ca"), "a", "left").join(of.selectExpr("node as b", "component as cb"), "b", "left")
+    other = durable(other.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b").join(first, ["a", "b"], "left_anti"))
+    more = durable(verified(other, sets).where(LINKED).select("a", "b"))
+    return of if more.isEmpty() else components(of.selectExpr("node as a", "component as b").union(more))
 
 
 def similar_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, and class_id, the same for equal words."""
     small_batches(docs.sparkSession)
     slim = durable(classes(docs, width))
-    reached = components(linked_classes(docs, slim, width))
+    reached = linked_classes(docs, slim, width)
     own = slim.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"))
     of = durable(own.join(reached, own.cls == reached.node, "left").select("cls", "low", F.coalesce("component", "cls").alias("component")))
     lows = durable(of.groupBy("component").agg(F.min("low").alias("component_id")))

@@ -43,6 +43,18 @@ def op3_language_id(spark, sf_dir):
     return out.withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
 
 
+def op7_mixing(spark, sf_dir):
+    from .mixing import mixture
+
+    return mixture(table(spark, sf_dir, "documents"))
+
+
+def op8_embedding_dedup(spark, sf_dir):
+    from .embedding_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_bpe(spark, sf_dir, vocabulary="byte_bpe_50k.tiktoken"):
     import public_tokenizers
 
@@ -52,7 +64,7 @@ def op9_bpe(spark, sf_dir, vocabulary="byte_bpe_50k.tiktoken"):
 
 
 def queries() -> dict:
-    found = [op1_jaccard_join, op3_language_id, op9_bpe, op10_exact_dedup]
+    found = [op1_jaccard_join, op3_language_id, op7_mixing, op8_embedding_dedup, op9_bpe, op10_exact_dedup]
     return {f.__name__: f for f in found}
 
 
