@@ -34,6 +34,12 @@ def op1_jaccard_join(spark, sf_dir):
     return similar_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op2_lm_score(spark, sf_dir):
+    from .lm_score import scores
+
+    return scores(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) == 1)
+
+
 def op3_language_id(spark, sf_dir):
     from .language_id import predicted, train
 
@@ -43,6 +49,14 @@ def op3_language_id(spark, sf_dir):
     return out.withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
 
 
+def op5_toxicity(spark, sf_dir):
+    from .toxicity import scored, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0))
+    return scored(docs, model).withColumn("held_out", fold(F.col("doc_id"), 5) == 0)
+
+
 def op7_mixing(spark, sf_dir):
     from .mixing import mixture
 
@@ -64,7 +78,7 @@ def op9_bpe(spark, sf_dir, vocabulary="byte_bpe_50k.tiktoken"):
 
 
 def queries() -> dict:
-    found = [op1_jaccard_join, op3_language_id, op7_mixing, op8_embedding_dedup, op9_bpe, op10_exact_dedup]
+    found = [op1_jaccard_join, op2_lm_score, op3_language_id, op5_toxicity, op7_mixing, op8_embedding_dedup, op9_bpe, op10_exact_dedup]
     return {f.__name__: f for f in found}
 
 

@@ -53,12 +53,13 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[offs[0] : offs[-1]], offs - offs[0]
 
 
-def bounds(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words `[^\\x20\\x09-\\x0D]+`, and n+1 offsets of the texts in them."""
+def bounds(buf: np.ndarray, offs: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, runs of bytes that are no `gap` (by default `[^\\x20\\x09-\\x0D]+`),
+    and n+1 offsets of the texts in them."""
     n = len(buf)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    word = ~_SPACE[buf]
+    word = ~gap[buf]
     cut = np.zeros(n + 1, dtype=bool)
     cut[offs] = True
     begin, end = word.copy(), word.copy()
