@@ -9,7 +9,7 @@ are, drawn by a hash of the id. Words count that stand in LEAST_DOCS of its docu
 
 Defined results. Null, empty and wordless texts have score 0. Without labelled rows every score is 0.
 Repeated rows get equal scores; a doc_id with several labels counts once for each. Sentences end at
-`.`, `!`, `?` and line ends; words are runs of ASCII letters, digits and non-ASCII bytes, A-Z as a-z.
+`.`, `!`, `?` and line ends; words and what they begin with are features; words are runs of ASCII letters, digits and non-ASCII bytes, A-Z as a-z.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from .words import bounds, hashes, pieces, utf8
 
 TRAIN_ROWS, LEAST_DOCS = 4000, 4
 FEATURE_BITS, STEPS, RATE, PENALTY = 18, 200, 0.15, 2e-4
+#: A word's features are itself (0) and its first bytes, so that inflected forms share some.
+HEADS = (0, 3, 4, 5, 6)
 #: Where a sentence's own probability is this or more, it is reported as offending.
 OFFENDING = 0.5
 
@@ -36,9 +38,10 @@ _STOP[[10, 13, 33, 46, 63]] = True
 
 
 def features(buf: np.ndarray, offs: np.ndarray):
-    """Feature of each word, the sentence it is in (numbered through), the text of each sentence, word spans."""
+    """Features of each word, the sentence it is in (numbered through), the text of each sentence, word spans."""
     starts, ends, at = bounds(buf, offs, _GAP)
-    feature = (hashes(buf, starts, ends) >> np.uint64(64 - FEATURE_BITS)).astype(np.int32)
+    feature = np.stack([hashes(buf, starts, np.minimum(starts + k, ends) if k else ends) + np.uint64(k << 40) * np.uint64(0x9E3779B97F4A7C15) for k in HEADS], axis=1)
+    feature = (feature >> np.uint64(64 - FEATURE_BITS)).astype(np.int32)
     stops = np.concatenate([[0], np.cumsum(_STOP[buf])]) if len(buf) else np.zeros(1, int)
     text = np.repeat(np.arange(len(offs) - 1), np.diff(at))
     mark = stops[starts] + text  # a new text begins a new sentence
@@ -53,7 +56,7 @@ class Model:
     bias: float
 
     def sentences(self, feature, sentence, count):
-        return self.bias + np.bincount(sentence, self.weights[feature], count)
+        return self.bias + np.bincount(sentence, self.weights[feature].sum(1), count)
 
 
 def _sigmoid(z):
@@ -61,7 +64,8 @@ def _sigmoid(z):
 
 
 def fit(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> Model:
-    """docs: features and sentence numbers of each document."""
+    """docs: features, a row for each word, and sentence numbers of each document."""
+    docs = [(f.ravel(), np.repeat(s, f.shape[1])) for f, s in docs]
     size = 1 << FEATURE_BITS
     seen = np.zeros((2, size))
     for (f, _), label in zip(docs, y, strict=True):
@@ -80,14 +84,14 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> Model:
         doc.append(np.full(own, d))
         top += own
     feature, sentence, doc = map(np.concatenate, (feature, sentence, doc))
-    w, b = np.where(np.abs(odds) > 1.5, odds, 0.0) * 0.5, -5.0
+    w, b = np.where(np.abs(odds) > 1.5, odds, 0.0) * 0.3, -5.0
     share = (0.5 / n)[y]
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for step in range(1, STEPS + 1):
         z = b + np.bincount(sentence, w[feature], top)
         p = _sigmoid(z)
         q = np.bincount(doc, -np.logaddexp(0, z), len(docs))
-        ratio = np.where(y == 1, -1 / np.expm1(np.maximum(-q, 1e-9)), 1.0)  # e^q / (1 - e^q), negated, for label 1
+        ratio = np.where(y == 1, -1 / np.expm1(np.clip(-q, 1e-9, 50)), 1.0)  # e^q / (1 - e^q), negated, for label 1
         g = (share * np.where(y == 1, np.maximum(ratio, -50), 1.0))[doc] * p
         gw = np.bincount(feature, g[sentence], len(used)) + PENALTY * np.sign(w) * 0.1 + PENALTY * w
         gb = g.sum()
@@ -118,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
             buf, offs = utf8(batch.column(2))
             for i, j in pieces(offs, 1 << 20):
                 f, s, text, _, _ = features(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                edge = np.searchsorted(text[s], np.arange(j - i + 1)) if len(f) else np.zeros(j - i + 1, int)
+                edge = np.searchsorted(text[s], np.arange(j - i + 1)) if len(s) else np.zeros(j - i + 1, int)
                 out = [(f[a:b], (s[a:b] - s[a]) if b > a else s[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([x.astype(np.int32).tobytes() for x, _ in out], pa.binary()), pa.array([x.astype(np.int32).tobytes() for _, x in out], pa.binary())], ["draw", "toxic", "f", "s"])
 
@@ -126,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     y = np.array([r.toxic for r in rows], dtype=int)
     if len(set(y.tolist())) < 2:
         return None
-    return fit([(np.frombuffer(r.f, np.int32), np.frombuffer(r.s, np.int32).astype(int)) for r in rows], y)
+    return fit([(np.frombuffer(r.f, np.int32).reshape(-1, len(HEADS)), np.frombuffer(r.s, np.int32).astype(int)) for r in rows], y)
 
 
 def score_batch(model: Model | None, texts: pa.Array):
