@@ -57,6 +57,12 @@ def op5_toxicity(spark, sf_dir):
     return scored(docs, model).withColumn("held_out", fold(F.col("doc_id"), 5) == 0)
 
 
+def op6_repeats(spark, sf_dir):
+    from .repeats import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark, sf_dir):
     from .mixing import mixture
 
@@ -78,7 +84,7 @@ def op9_bpe(spark, sf_dir, vocabulary="byte_bpe_50k.tiktoken"):
 
 
 def queries() -> dict:
-    found = [op1_jaccard_join, op2_lm_score, op3_language_id, op5_toxicity, op7_mixing, op8_embedding_dedup, op9_bpe, op10_exact_dedup]
+    found = [op1_jaccard_join, op2_lm_score, op3_language_id, op5_toxicity, op6_repeats, op7_mixing, op8_embedding_dedup, op9_bpe, op10_exact_dedup]
     return {f.__name__: f for f in found}
 
 
