@@ -49,6 +49,12 @@ def op3_language_id(spark, sf_dir):
     return out.withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
 
 
+def op4_chat_format(spark, sf_dir):
+    from .quotes import threaded
+
+    return threaded(table(spark, sf_dir, "conversations"))
+
+
 def op5_toxicity(spark, sf_dir):
     from .toxicity import scored, train
 
@@ -84,7 +90,7 @@ def op9_bpe(spark, sf_dir, vocabulary="byte_bpe_50k.tiktoken"):
 
 
 def queries() -> dict:
-    found = [op1_jaccard_join, op2_lm_score, op3_language_id, op5_toxicity, op6_repeats, op7_mixing, op8_embedding_dedup, op9_bpe, op10_exact_dedup]
+    found = [op1_jaccard_join, op2_lm_score, op3_language_id, op4_chat_format, op5_toxicity, op6_repeats, op7_mixing, op8_embedding_dedup, op9_bpe, op10_exact_dedup]
     return {f.__name__: f for f in found}
 
 
