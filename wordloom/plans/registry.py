@@ -2,14 +2,197 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from wordloom.functions import terms as T
+from wordloom.functions.separators import ALIASES, END, OFFICIALS, SEP
+from wordloom.operators import ngrams as N
+from wordloom.operators.prediction import next_words
+
+
+def _docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+
+
+def _items(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), "text")
+
+
+def _turns(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'")
+    return rows.select((F.col("conv_id") * 100_000 + F.col("turn")).alias("doc_id"), "text")
+
+
+def tok_separator_hist(spark, sf_dir):
+    t = _docs(spark, sf_dir).select(F.explode(F.regexp_extract_all(T.canonical(F.col("text")), F.lit(f"[{SEP}]"), F.lit(0))).alias("sep"))
+    return t.groupBy("sep").agg(F.count(F.lit(1)).alias("n"))
+
+
+def tok_counts(spark, sf_dir):
+    t = T.canonical(F.col("text"))
+    words = F.size(F.regexp_extract_all(t, F.lit(f"[^{SEP}]+"), F.lit(0))).alias("words")
+    seps = F.size(F.regexp_extract_all(t, F.lit(f"[{SEP}]"), F.lit(0))).alias("separators")
+    return _docs(spark, sf_dir).select("doc_id", words, seps)
+
+
+def term_ec_counts(spark, sf_dir):
+    t = _docs(spark, sf_dir).select(F.explode(T.terms(F.col("text"))).alias("term"))
+    t = t.withColumn("kind", T.kind(F.col("term")))
+    return t.where("kind <> 'SEPARATOR'").groupBy("kind", T.value(F.col("term"), F.col("kind")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def sentence_stats(spark, sf_dir):
+    return N.spoken(_docs(spark, sf_dir)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.sum(F.size("words")).alias("words"), F.max(F.size("words")).alias("longest"))
+
+
+def start_end_until_separator(spark, sf_dir):
+    t = T.canonical(F.col("text"))
+    head, tail = F.regexp_extract(t, f"^[^{SEP}]*", 0), F.regexp_extract(t, rf"[^{SEP}]*\z", 0)
+    return _docs(spark, sf_dir).select("doc_id", head.alias("head"), F.length(head).alias("head_length"), tail.alias("tail"), F.length(tail).alias("tail_length"))
+
+
+def word_counts(spark, sf_dir):
+    return N.word_counts(_docs(spark, sf_dir))
+
+
+def ngram_counts(spark, sf_dir):
+    return _named(N.counts(_items(spark, sf_dir)))
+
+
+def ngram_totals(spark, sf_dir):
+    g = N.counts(_docs(spark, sf_dir))
+    return g.groupBy("n").agg(F.count(F.lit(1)).alias("unique_ngrams"), F.sum("cnt").alias("total_ngrams"))
+
+
+def discount_by_order(spark, sf_dir):
+    return N.discounts(N.counts(_docs(spark, sf_dir))).withColumn("d", F.round("d", 10))
+
+
+def context_bow(spark, sf_dir):
+    c = N.contexts(N.counts(_docs(spark, sf_dir), 2), 2).where("n = 2")
+    return c.select(F.replace("w1", F.lit("\x02"), F.lit("")).alias("context"), "total", "children", F.round("bow", 10).alias("bow"))
+
+
+def backoff_prob(spark, sf_dir):
+    p = N.backed_off(N.counts(_items(spark, sf_dir), 2))
+    return p.select(F.replace("context", F.lit("\x02"), F.lit("")).alias("context"), "word", F.round("p", 10).alias("p"))
+
+
+def prob_sum_check(spark, sf_dir):
+    """Shares of all children of a context and its back-off weight make one."""
+    g = N.counts(_docs(spark, sf_dir), 2)
+    freq = N.probabilities(g, 2).where("n = 2").groupBy("w1").agg(F.sum("freq").alias("f"))
+    c = N.contexts(g, 2).where("n = 2").select("w1", "bow")
+    return freq.join(c, "w1").agg(F.count(F.lit(1)).alias("contexts"), F.count_if(F.abs(F.col("f") + F.col("bow") - 1) < 1e-9).alias("sum_to_one"))
+
+
+def predict_bigram_top5(spark, sf_dir):
+    return next_words(_docs(spark, sf_dir), _turns(spark, sf_dir))
+
+
+def fifo_distinct(spark, sf_dir):
+    """Distinct event types among a user's last four events."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type")
+    last = F.collect_set("event_type").over(W.partitionBy("user_id").orderBy("event_id").rowsBetween(-3, 0))
+    return e.select("event_id", "user_id", F.size(last).alias("kinds"))
+
+
+def _named(grams):
+    return grams.withColumn("w1", F.replace("w1", F.lit("\x02"), F.lit("")))
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return predict_bigram_top5(spark, sf_dir)
+
+
+_ALL = [tok_counts, tok_separator_hist, term_ec_counts, sentence_stats, start_end_until_separator, word_counts, ngram_counts, ngram_totals, discount_by_order, context_bow, backoff_prob, prob_sum_check, predict_bigram_top5, fifo_distinct]
 
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in _ALL}
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+# A second way to the same terms: RE2 has no look-ahead, so every token gets an end mark (code 1) first
+# and matchers name whole tokens. A hyphen run that fails is cut into its tokens afterwards.
+_E = "\\x01"
+_CANON = f"translate(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\\r\\n?', '\\n', 'g'), '\\n\\z', ''), '(?m)^\ufeff', '', 'g'), {_quoted(ALIASES)}, {_quoted(OFFICIALS)})".replace("'\\n', 'g'", "chr(10), 'g'")
+_RULES = [
+    ("PERCENT", f"\\d+{_E}[,.]{_E}\\d+{_E}(?: {_E})?%{_E}|\\d+{_E}(?: {_E})?%{_E}"),
+    ("WORD", f"(?i:aujourd){_E}\\x27{_E}(?i:hui){_E}"),
+    ("DECIMAL", f"\\d+{_E}[.,]{_E}\\d+{_E}"),
+    ("INTEGER", f"\\d+{_E}"),
+    ("WORD", f"\\p{{L}}+{_E}\\x27{_E}"),
+    ("ACRONYM", f"\\p{{Lu}}{_E}(?:\\.{_E}\\p{{Lu}}{_E})+(?:\\.{_E})?"),
+]
+_RUN = f"\\p{{L}}+{_E}(?:-{_E}\\p{{L}}+{_E})+"
+_ANY = "|".join([*(p for _, p in _RULES), f"{_RUN}(?:-{_E})?", f"[^{SEP}{_E}]+{_E}", f"[{SEP}]{_E}"])
+_KIND = "CASE " + f"WHEN regexp_full_match(x, '[{SEP}]{_E}') THEN 'SEPARATOR' " + " ".join(f"WHEN regexp_full_match(x, '{p}') THEN '{k}'" for k, p in _RULES) + " ELSE 'WORD' END"
+
+
+def _terms_sql(table: str, key: str, where: str = "true") -> str:
+    return f"""
+canon AS (SELECT {key} AS doc_id, {_CANON} AS t FROM {table} WHERE {where}),
+marked AS (SELECT doc_id, t, regexp_replace(t, '([^{SEP}]+|[{SEP}])', '\\1' || chr(1), 'g') AS m FROM canon),
+found AS (SELECT doc_id, t, regexp_extract_all(m, '{_ANY}') AS l FROM marked),
+flat AS (SELECT doc_id, t, flatten(list_transform(l, lambda x: CASE WHEN regexp_full_match(x, '{_RUN}-{_E}') THEN regexp_extract_all(x, '[^{_E}]+{_E}') ELSE [x] END)) AS l FROM found),
+term AS (SELECT doc_id, t, unnest(l) AS x, unnest(range(len(l))) AS pos FROM flat),
+kinds AS (SELECT doc_id, t, pos, replace(x, chr(1), '') AS term, {_KIND} AS kind FROM term),
+numbered AS (SELECT *, sum(CASE WHEN kind = 'SEPARATOR' AND regexp_matches(term, '[{END}]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS sent FROM kinds),
+spoken AS (SELECT doc_id, t, sent, pos, CASE WHEN kind = 'WORD' THEN term ELSE chr(3) || kind END AS raw, row_number() OVER (PARTITION BY doc_id, sent ORDER BY pos) AS i FROM numbered WHERE kind <> 'SEPARATOR'),
+word AS (SELECT doc_id, t, sent, i, CASE WHEN i = 1 AND regexp_matches(raw, '^\\p{{Lu}}') THEN lower(raw) ELSE raw END AS w FROM spoken)"""
+
+
+def _grams_sql(order: int) -> str:
+    cols = ", ".join(f"w{k}" for k in range(1, order + 1))
+    lead = ", ".join(f"lead(w, {k - 1}) OVER s AS w{k}" for k in range(1, order + 1))
+    part = " UNION ALL ".join(f"SELECT {n} AS n, {', '.join(f'w{k}' if k <= n else f'NULL::VARCHAR AS w{k}' for k in range(1, order + 1))} FROM led WHERE w{n} IS NOT NULL" for n in range(1, order + 1))
+    return f""",
+one AS (SELECT doc_id FROM kinds GROUP BY doc_id HAVING count(*) = 1),
+started AS (SELECT doc_id, sent, i, w FROM word WHERE doc_id NOT IN (SELECT doc_id FROM one)
+  UNION ALL SELECT DISTINCT doc_id, sent, 0, 'START' FROM word WHERE doc_id NOT IN (SELECT doc_id FROM one)),
+led AS (SELECT {lead} FROM started WINDOW s AS (PARTITION BY doc_id, sent ORDER BY i)),
+grams AS (SELECT n, {cols}, count(*) AS cnt FROM ({part}) GROUP BY ALL),
+disc AS (SELECT n, count(*) FILTER (cnt = 1 AND w1 <> 'START') AS n1, count(*) FILTER (cnt = 2 AND w1 <> 'START') AS n2 FROM grams GROUP BY n),
+d AS (SELECT n, n1, n2, least(0.9, greatest(0.1, CASE WHEN n1 + 2 * n2 > 0 THEN n1 / (n1 + 2 * n2) ELSE 0.5 END)) AS d FROM disc)"""
+
+
+_BIGRAMS = """,
+uni AS (SELECT w1 AS word, cnt / sum(cnt) OVER () AS f0 FROM grams WHERE n = 1),
+ctx AS (SELECT w1 AS context, sum(cnt) AS total, count(*) AS children FROM grams WHERE n = 2 GROUP BY w1),
+bows AS (SELECT context, total, children, children * d / total AS bow, d FROM ctx, d WHERE d.n = 2),
+big AS (SELECT w1 AS context, w2 AS word, greatest(0, cnt - d) / total AS f1, bow FROM grams JOIN bows ON context = w1 WHERE n = 2)"""
 
 
 def oracle_sql() -> dict:
-    return {}
+    docs, items = _terms_sql("documents", "doc_id"), _terms_sql("benchmark", "item_id")
+    asked = f"""SELECT doc_id, arg_max(w, sent * 1000000 + i) AS context FROM word_p GROUP BY doc_id"""
+    prompts = _terms_sql("conversations", "conv_id * 100000 + turn", "role = 'user'")
+    for name in ("canon", "marked", "found", "flat", "term", "kinds", "numbered", "spoken", "word"):
+        prompts = prompts.replace(f"{name} AS (", f"{name}_p AS (").replace(f"FROM {name})", f"FROM {name}_p)").replace(f"FROM {name} ", f"FROM {name}_p ")
+    return {
+        "tok_counts": f"SELECT doc_id, len(regexp_extract_all(t, '[^{SEP}]+')) AS words, len(regexp_extract_all(t, '[{SEP}]')) AS separators FROM (SELECT doc_id, {_CANON} AS t FROM documents)",
+        "tok_separator_hist": f"SELECT sep, count(*) AS n FROM (SELECT unnest(regexp_extract_all({_CANON}, '[{SEP}]')) AS sep FROM documents) GROUP BY sep",
+        "term_ec_counts": f"WITH {docs} SELECT kind, CASE kind WHEN 'PERCENT' THEN replace(replace(term, ' ', ''), '.', ',') WHEN 'DECIMAL' THEN replace(term, '.', ',') WHEN 'ACRONYM' THEN replace(term, '.', '') ELSE term END AS value, count(*) AS n FROM kinds WHERE kind <> 'SEPARATOR' GROUP BY ALL",
+        "sentence_stats": f"WITH {docs} SELECT doc_id, count(*) AS sentences, sum(n)::BIGINT AS words, max(n) AS longest FROM (SELECT doc_id, sent, count(*) AS n FROM word GROUP BY ALL) GROUP BY doc_id",
+        "start_end_until_separator": f"SELECT doc_id, regexp_extract(t, '^[^{SEP}]*') AS head, length(head) AS head_length, regexp_extract(t, '[^{SEP}]*\\z') AS tail, length(tail) AS tail_length FROM (SELECT doc_id, {_CANON} AS t FROM documents)",
+        "word_counts": f"WITH {docs} SELECT w AS word, count(*) AS cnt FROM word WHERE NOT starts_with(w, chr(3)) GROUP BY w",
+        "ngram_counts": f"WITH {items}{_grams_sql(4)} SELECT * FROM grams",
+        "ngram_totals": f"WITH {docs}{_grams_sql(4)} SELECT n, count(*) AS unique_ngrams, sum(cnt)::BIGINT AS total_ngrams FROM grams GROUP BY n",
+        "discount_by_order": f"WITH {docs}{_grams_sql(4)} SELECT n, n1, n2, round(d, 10) AS d FROM d",
+        "context_bow": f"WITH {docs}{_grams_sql(2)}{_BIGRAMS} SELECT context, total::BIGINT AS total, children, round(bow, 10) AS bow FROM bows",
+        "backoff_prob": f"WITH {items}{_grams_sql(2)}{_BIGRAMS} SELECT context, big.word, round(f1 + bow * f0, 10) AS p FROM big JOIN uni USING (word)",
+        "prob_sum_check": f"WITH {docs}{_grams_sql(2)}{_BIGRAMS} SELECT count(*) AS contexts, count(*) FILTER (abs(f - 1) < 1e-9) AS sum_to_one FROM (SELECT context, sum(f1) + any_value(bow) AS f FROM big GROUP BY context)",
+        "predict_bigram_top5": f"""WITH {docs}{_grams_sql(2)}{_BIGRAMS}, {prompts}, asked AS ({asked}),
+need AS (SELECT DISTINCT context FROM asked),
+scored AS (SELECT need.context, uni.word, round(coalesce(big.f1, 0) + coalesce(bows.bow, 1) * f0, 10) AS score
+  FROM need CROSS JOIN uni LEFT JOIN bows ON bows.context = need.context LEFT JOIN big ON big.context = need.context AND big.word = uni.word
+  WHERE uni.word <> 'START' AND NOT starts_with(uni.word, chr(3))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY context ORDER BY score DESC, word) AS rank FROM scored)
+SELECT doc_id AS prompt_id, rank, word, score FROM asked JOIN ranked USING (context) WHERE rank <= 5""",
+        "fifo_distinct": "SELECT event_id, user_id, len(list_distinct(list(event_type) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW))) AS kinds FROM events",
+    }
