@@ -75,15 +75,20 @@ def rows_of(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     A bitmap of the wanted keys' hash cells, of bounded size, goes to every executor first, so that of
     df's rows only the wanted ones and some false alarms are shuffled for the join.
     """
+    return maybe_in(df, key, wanted).where("maybe").drop("maybe").join(wanted, key, "left_semi")
+
+
+def maybe_in(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """df with `maybe`, false only where the key isn't among wanted; nothing of df is shuffled."""
     n, cells = wanted.count(), 1 << 15
     while cells < min(MOST_CELLS, CELLS_PER_KEY * n):
         cells *= 2
     cell = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(cells))
     bits = wanted.select(cell.alias("cell")).groupBy(F.expr("cell div 32768").alias("bucket")).agg(F.bitmap_construct_agg(F.expr("cell % 32768")).alias("bits"))
-    marked = df.withColumn("cell", cell).join(F.broadcast(durable(bits)), F.expr("cell div 32768 = bucket"))
+    marked = df.withColumn("cell", cell).join(F.broadcast(durable(bits)), F.expr("cell div 32768 = bucket"), "left")
     byte = F.conv(F.hex(F.expr("substring(bits, cast((cell % 32768) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    maybe = marked.where(byte.bitwiseAND(F.pow(F.lit(2), F.expr("cell % 8")).cast("int")) != 0)
-    return maybe.drop("cell", "bucket", "bits").join(wanted, key, "left_semi")
+    maybe = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), F.expr("cell % 8")).cast("int")) != 0, F.lit(False))
+    return marked.withColumn("maybe", maybe).drop("cell", "bucket", "bits")
 
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:

@@ -24,17 +24,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MOST_CELLS, partitions, release, small_batches
+from .common import MOST_CELLS, durable, maybe_in, partitions, release, small_batches
 from .words import _BYTE, _powers, mixed, pieces, utf8
 
 LENGTH, GRAM = 200, 50
 #: Occurrences of an anchor beyond which its windows are dealt out instead of its surroundings.
 HOT = 2000
 LEFT = LENGTH - GRAM
-BLOCK_BYTES, CHUNK = 6 << 20, 1 << 17
+BLOCK_BYTES, CHUNK = 8 << 20, 1 << 17
 NONE = 255  # no byte of UTF-8; stands beyond the ends of a text and matches nothing
 
 
@@ -289,7 +290,7 @@ def _sent_rows(kind, buckets, key, row, at, around):
     for b in range(buckets):
         o = order[edge[b] : edge[b + 1]]
         if len(o):
-            for c, x in zip(cols, (b, kind, key[o].tobytes(), row[o].astype(np.int64).tobytes(), at[o].astype(np.int64).tobytes(), around[o].tobytes() if around is not None else b""), strict=True):
+            for c, x in zip(cols, (b, kind, key[o].tobytes(), row[o].astype(np.int64).tobytes(), at[o].astype(np.int64).tobytes(), zstandard.ZstdCompressor(level=3).compress(around[o].tobytes()) if around is not None else b""), strict=True):
                 c.append(x)
     if cols[0]:
         yield _rows(cols, *_SENT)
@@ -310,7 +311,8 @@ def _found(table: pa.Table) -> pa.Table:
         both = order[same | np.append(same[1:], False)]
         out.append((row[both], at[both], at[both] + LENGTH))
     key, row, at = get("keys", np.uint64, 0), get("rows", np.int64, 0), get("at", np.int64, 0)
-    around = get("around", np.uint8, 0).reshape(-1, LEFT + LENGTH)
+    packed = [x for x, q in zip(table.column("around").to_pylist(), kind, strict=True) if q == 0]
+    around = np.concatenate([np.zeros(0, np.uint8), *[np.frombuffer(zstandard.decompress(x), np.uint8) for x in packed]]).reshape(-1, LEFT + LENGTH)
     if len(key):
         order = np.argsort(key, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
@@ -350,7 +352,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     small_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    of = spans(slim.select("row", "text")).groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    of = durable(spans(slim.select("row", "text")).groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
+    release(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -372,4 +375,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                     c.append(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.string()], strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return slim.join(of, "row", "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    # Texts without repeats stay where they are; those that may have some meet their spans.
+    slim = maybe_in(slim, "row", of.select("row"))
+    whole = slim.where("not maybe").select("doc_id", "text", F.lit(None).cast("array<struct<start: long, stop: long>>").alias("spans"))
+    cut = slim.where("maybe").join(of, "row", "left").select("doc_id", "text", "spans")
+    return whole.unionByName(cut).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
