@@ -11,7 +11,7 @@ followers, with its training counts, to the bucket of the context; the bucket su
 and sends each block the counts of what it asked. Nothing is collected but four totals.
 
 Defined results. Null text counts as empty, whose one token is the end. Words are `[^\\x20\\x09-\\x0D]+`
-with A-Z as a-z, compared by 64-bit hashes. Without training rows c, N and V are 0 and every
+with A-Z as a-z, compared by 64-bit hashes, the followers of one context by 48 bits of them. Without training rows c, N and V are 0 and every
 probability is that of an unseen word. Repeated rows are scored alike. Extra columns are ignored.
 """
 
@@ -19,14 +19,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, partitions, release, small_batches, written
+from .common import partitions, release, small_batches, written
 from .words import bounds, hashes, pieces, utf8
 
 #: Stand-ins for the end and the start of a text, and bytes of text in a block.
-END, START, BLOCK_BYTES = np.uint64(0x5EED0E0D5EED0E0D), np.uint64(0x57A1257A12575A17), 6 << 20
+END, START, BLOCK_BYTES = np.uint64(0x5EED0E0D5EED0E0D), np.uint64(0x57A1257A12575A17), 8 << 20
 
 
 def tokens(texts: pa.Array):
@@ -43,9 +45,34 @@ def tokens(texts: pa.Array):
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(n)])
 
 
-def block_of(table: pa.Table):
+def gathered(batches):
+    """Blocks of rows, each one row of (block, compressed rows): nothing shuffles."""
+
+    def row(parts):
+        table = pa.Table.from_batches(parts)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        data = sink.getvalue().to_pybytes()
+        block = xxhash.xxh64_intdigest(data) - (1 << 63)
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([zstandard.ZstdCompressor(level=3).compress(data)], pa.binary())], ["block", "data"])
+
+    parts, size = [], 0
+    for batch in batches:
+        _, offs = utf8(batch.column(1))
+        for i, j in pieces(offs, BLOCK_BYTES):
+            parts.append(batch.slice(i, j - i))
+            size += int(offs[j] - offs[i])
+            if size > BLOCK_BYTES:
+                yield row(parts)
+                parts, size = [], 0
+    if parts:
+        yield row(parts)
+
+
+def block_of(data: bytes):
     """A block's tokens, text offsets, distinct words and pairs (context, word), sorted."""
-    table = table.sort_by([("row", "ascending")])
+    table = pa.ipc.open_stream(zstandard.decompress(data)).read_all()
     toks, offs = tokens(table.column("text"))
     words, at = np.unique(np.concatenate([toks, [START]]).astype(np.uint64), return_inverse=True)
     start, at = at[-1], at[:-1]
@@ -63,9 +90,8 @@ def _cut(words, buckets):
 
 
 def asked(buckets: int):
-    def run(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        _, _, words, at, train, pair, pair_at = block_of(table)
+    def one(block, data):
+        _, _, words, at, train, pair, pair_at = block_of(data)
         count = np.bincount(at, train, len(words)).astype(np.uint32)
         pairs = np.bincount(pair_at, train, len(pair)).astype(np.uint32)
         context, word = pair // len(words), pair % len(words)
@@ -76,14 +102,31 @@ def asked(buckets: int):
             i, j, k, m = edge[b], edge[b + 1], pair_edge[b], pair_edge[b + 1]
             if i < j:
                 per = np.diff(np.searchsorted(context[k:m], np.arange(i, j + 1)))
-                rows.append((b, block, words[i:j].tobytes(), count[i:j].tobytes(), per.astype(np.uint32).tobytes(), words[word[k:m]].tobytes(), _small(pairs[k:m])))
+                rows.append((b, block, words[i:j].tobytes(), count[i:j].tobytes(), per.astype(np.uint32).tobytes(), _planes(words[word[k:m]]), _small(pairs[k:m])))
         cols = list(zip(*rows, strict=True))
         kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
-        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["bucket", "block", "words", "counts", "per", "next", "pairs"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["bucket", "block", "words", "counts", "per", "next", "pairs"])
+
+    def run(batches):
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield one(block, data.as_py())
 
     return run
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The upper six bytes of each hash, byte by byte; followers of a context differ in them."""
+    return np.ascontiguousarray(x.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
+
+
+def _joined(data: bytes) -> np.ndarray:
+    own = np.frombuffer(data, np.uint8).reshape(6, -1)
+    out = np.zeros((own.shape[1], 8), np.uint8)
+    out[:, 2:] = own.T
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
 def _small(x: np.ndarray) -> bytes:
     """Counts, mostly below 255, as a byte each; the others follow."""
     big = x >= 255
@@ -103,9 +146,9 @@ def summed(table: pa.Table) -> pa.Table:
     per = [np.frombuffer(x, np.uint32) for x in col["per"]]
     every, index = np.unique(np.concatenate(words), return_inverse=True)
     count = np.bincount(index, np.concatenate([np.frombuffer(x, np.uint32) for x in col["counts"]])).astype(np.int64)
-    nexts = np.concatenate([np.frombuffer(x, np.uint64) for x in col["next"]])
+    nexts = np.concatenate([_joined(x) for x in col["next"]])
     context = index[np.repeat(np.arange(len(index)), np.concatenate(per))]
-    own = np.concatenate([_large(x, len(y) // 8) for x, y in zip(col["pairs"], col["next"], strict=True)])
+    own = np.concatenate([_large(x, len(y) // 6) for x, y in zip(col["pairs"], col["next"], strict=True)])
     order = np.lexsort((nexts, context))
     sorted_context, sorted_next = context[order], nexts[order]
     new = np.concatenate([[True], (sorted_context[1:] != sorted_context[:-1]) | (sorted_next[1:] != sorted_next[:-1])]) if len(order) else np.zeros(0, bool)
@@ -134,7 +177,7 @@ def traversed(n: int, v: int, discount: float):
     """Reads the texts of a block through the automaton."""
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        table, offs, words, at, _, pair, pair_at = block_of(texts)
+        table, offs, words, at, _, pair, pair_at = block_of(texts.column("data")[0].as_py())
         answers = answers.sort_by([("bucket", "ascending")])
         count, after, followers = (np.concatenate([np.frombuffer(x, np.uint32) for x in answers.column(c).to_pylist()]).astype(np.float64) for c in ("counts", "after", "followers"))
         # The pairs of a bucket are those of its words, in order.
@@ -168,13 +211,13 @@ def scores(docs: DataFrame, held_out) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    size = rows.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    buckets = max(partitions(spark), blocks)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.substring("text", -20, 20)), F.lit(blocks))).withColumn("row", F.xxhash64("text", "doc_id"))
-    questions = rows.groupBy("block").applyInArrow(asked(buckets), "bucket int, block long, words binary, counts binary, per binary, next binary, pairs binary")
+    blocks = written(rows.mapInArrow(gathered, "block long, data binary").withColumn("block", F.xxhash64("block", F.monotonically_increasing_id())))
+    buckets = max(partitions(spark), blocks.count())
+    small_batches(spark, 1)
+    questions = blocks.mapInArrow(asked(buckets), "bucket int, block long, words binary, counts binary, per binary, next binary, pairs binary")
     answers = written(questions.groupBy("bucket").applyInArrow(summed, ANSWER))
+    del questions
     release(spark)
     n, v, once, twice = (x or 0 for x in answers.agg(*[F.sum(c) for c in ("n", "v", "once", "twice")]).first())
     discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
-    return rows.groupBy("block").cogroup(answers.drop("n", "v", "once", "twice").groupBy("block")).applyInArrow(traversed(n, v, discount), RESULT)
+    return blocks.groupBy("block").cogroup(answers.drop("n", "v", "once", "twice").groupBy("block")).applyInArrow(traversed(n, v, discount), RESULT)
