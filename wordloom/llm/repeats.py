@@ -243,8 +243,8 @@ def sent(some, hot, bits, buckets):
             text, at, key = text[ok], at[ok], key[ok]
             is_hot = _has(hot.value, key, bits)
             settled = []
-            for a in range(0, int((~is_hot).sum()), 1 << 15):
-                t, p, k = (x[~is_hot][a : a + (1 << 15)] for x in (text, at, key))
+            for a in range(0, int((~is_hot).sum()), 1 << 13):
+                t, p, k = (x[~is_hot][a : a + (1 << 13)] for x in (text, at, key))
                 le, r = surroundings(buf, offs, t, p)
                 whole = np.concatenate([le, r], axis=1)
                 mark = mixed(k ^ mixed((_void(whole).astype(np.uint64) * (np.arange(-(-whole.shape[1] // 8), dtype=np.uint64) * np.uint64(2) + np.uint64(0x9E3779B97F4A7C15))).sum(1)))
@@ -318,8 +318,8 @@ def _found(table: pa.Table) -> pa.Table:
         first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
         size = np.diff(np.append(first, len(order)))
         twos = first[size == 2]
-        for a in range(0, len(twos), 1 << 14):
-            i, j = order[twos[a : a + (1 << 14)]], order[twos[a : a + (1 << 14)] + 1]
+        for a in range(0, len(twos), 1 << 13):
+            i, j = order[twos[a : a + (1 << 13)]], order[twos[a : a + (1 << 13)] + 1]
             le, r = _common(around[i, :LEFT], around[j, :LEFT]), _common(around[i, LEFT:], around[j, LEFT:])
             ok = le + r >= LENGTH
             for x in (i, j):
@@ -337,7 +337,7 @@ def spans(keyed: DataFrame) -> DataFrame:
     spark = keyed.sparkSession
     sc = spark.sparkContext
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(partitions(spark), size // (16 << 20))
+    buckets = max(partitions(spark), size // (4 << 20))
     bits = 15
     while 1 << bits < min(MOST_CELLS, size // 4):
         bits += 1
