@@ -35,7 +35,7 @@ LENGTH, GRAM = 200, 50
 #: Occurrences of an anchor beyond which its windows are dealt out instead of its surroundings.
 HOT = 2000
 LEFT = LENGTH - GRAM
-BLOCK_BYTES, CHUNK = 8 << 20, 1 << 17
+BLOCK_BYTES, CHUNK, MOST_SPANS = 8 << 20, 1 << 17, 200_000
 NONE = 255  # no byte of UTF-8; stands beyond the ends of a text and matches nothing
 
 
@@ -324,10 +324,14 @@ def _found(table: pa.Table) -> pa.Table:
             ok = le + r >= LENGTH
             for x in (i, j):
                 out.append((row[x][ok], (at[x] - le)[ok], (at[x] + r)[ok]))
+        size_now = 0
         for f, n in zip(first[size > 2], size[size > 2], strict=True):
             own = order[f : f + n]
             for who, le, r in group_repeats(around[own, :LEFT], around[own, LEFT:]):
                 out.append((row[own[who]], at[own[who]] - le, at[own[who]] + r))
+                size_now += len(who)
+                if size_now > MOST_SPANS:  # an occurrence is in many intervals: their union is all that is kept
+                    out, size_now = [merged(*map(np.concatenate, zip(*out, strict=True)))], 0
     row, a, b = merged(*map(np.concatenate, zip(*out, strict=True)))
     return pa.table([pa.array(row), pa.array(a), pa.array(b)], names=["row", "start", "stop"])
 
