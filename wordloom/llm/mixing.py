@@ -25,6 +25,8 @@ from .common import durable
 DIMENSIONS = ("source", "lang", "topic")
 #: Power of the present shares that the default targets are; rounds, and the error that ends them.
 SMOOTH, ROUNDS, CLOSE = 0.7, 30, 1e-6
+#: Cells in a partition while raking.
+PART = 50_000
 
 
 def words_in(text: Column) -> Column:
@@ -58,25 +60,49 @@ def default_targets(cells: DataFrame) -> dict[str, DataFrame]:
 
 
 def raked(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
-    """cells with `fitted`, their share of the mixture."""
-    fit = durable(cells.where("tokens > 0").withColumn("fitted", F.col("tokens").cast("double")))
-    if fit.isEmpty():
-        return fit
+    """cells with `fitted`, their share of the mixture.
+
+    What a round changes is a factor for each value of a dimension: its target over the sum of its
+    cells' tokens times their factors in the other dimensions. Only these factors are written down in
+    each step, by a plan whose size doesn't depend on the steps before.
+    """
+    cells = durable(cells.where("tokens > 0"))
+    n = cells.count()
+    if not n:
+        return cells.withColumn("fitted", F.col("tokens").cast("double"))
+    parts = 1 + n // PART
+    cells = durable(cells.coalesce(parts))
+    goals, factors = {}, {}
+    for d in DIMENSIONS:
+        present = cells.select(F.col(d).alias("of")).distinct()
+        goal = present.join(targets[d], present["of"].eqNullSafe(targets[d]["value"]), "left").select("of", F.coalesce("share", F.lit(0.0)).alias("share"))
+        total = goal.agg(F.sum("share").alias("all"))
+        goals[d] = durable(goal.crossJoin(F.broadcast(total)).select("of", F.when(F.col("all") > 0, F.col("share") / F.col("all")).otherwise(0.0).alias("share")).coalesce(parts))
+        factors[d] = goals[d].select(F.col("of").alias("value"), F.lit(1.0).alias("by"))
+
+    def times(rows: DataFrame, d: str) -> DataFrame:
+        by = factors[d]
+        return rows.join(by, rows[d].eqNullSafe(by["value"])).withColumn("fitted", F.col("fitted") * F.col("by")).drop("value", "by")
+
+    start = cells.withColumn("fitted", F.col("tokens").cast("double"))
     for _ in range(ROUNDS):
-        off = F.lit(0.0)
+        worst = 0.0
         for d in DIMENSIONS:
-            now = fit.groupBy(F.col(d).alias("value")).agg(F.sum("fitted").alias("now"))
-            goal = now.join(targets[d], now["value"].eqNullSafe(targets[d]["value"]), "left").select(now["value"], "now", F.coalesce("share", F.lit(0.0)).alias("share"))
-            total = goal.agg(F.sum(F.when(F.col("now") > 0, F.col("share"))).alias("all"))
-            goal = goal.crossJoin(F.broadcast(total)).select(F.col("value"), F.when((F.col("now") > 0) & (F.col("all") > 0), F.col("share") / F.col("all") / F.col("now")).otherwise(0.0).alias(f"by_{d}"))
-            fit = fit.join(goal, fit[d].eqNullSafe(goal["value"]), "left").drop("value").withColumn("fitted", F.col("fitted") * F.col(f"by_{d}"))
-            off = F.greatest(off, F.when(F.col("fitted") > 0, F.abs(F.col(f"by_{d}") - 1)).otherwise(0.0))
-        fit = durable(fit.withColumn("off", off).drop(*[f"by_{d}" for d in DIMENSIONS]))
-        worst = fit.agg(F.max("off")).first()[0]
-        fit = fit.drop("off")
-        if worst is None or worst < CLOSE:
+            rows = start
+            for other in DIMENSIONS:
+                rows = rows if other == d else times(rows, other)
+            now = rows.groupBy(F.col(d).alias("value")).agg(F.sum("fitted").alias("now"))
+            now = now.join(goals[d], now["value"].eqNullSafe(goals[d]["of"])).join(factors[d].withColumnRenamed("value", "was"), F.col("value").eqNullSafe(F.col("was")))
+            step = F.when(F.col("now") > 0, F.col("share") / F.col("now")).otherwise(0.0)
+            off = F.when((step > 0) & (F.col("by") > 0), F.abs(step / F.col("by") - 1)).otherwise(0.0)
+            found = durable(now.select("value", step.alias("by"), off.alias("off")).coalesce(parts))
+            worst = max(worst, found.agg(F.max("off")).first()[0])
+            factors[d] = found.select("value", "by")
+        if worst < CLOSE:
             break
-    return fit
+    for d in DIMENSIONS:
+        start = times(start, d)
+    return durable(start)
 
 
 def rates(cells: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
