@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from wordloom.llm import mixing
 from wordloom.llm.mixing import DIMENSIONS, SMOOTH, mixture, rates, sampled, weighed
 
 SCHEMA = "doc_id long, text string, source string, lang string, tokens int, rate string"
@@ -31,7 +32,9 @@ def brute(cells):
     return f, share
 
 
-def test_raking_meets_targets(spark):
+@pytest.mark.parametrize("part", [50_000, 0])
+def test_raking_meets_targets(spark, monkeypatch, part):
+    monkeypatch.setattr(mixing, "PART", part)
     df = spark.createDataFrame(rows(), SCHEMA)
     fit = rates(weighed(df)).collect()
     cells = {tuple(r[d] for d in DIMENSIONS): r.tokens for r in fit}

@@ -18,15 +18,16 @@ rows are drawn alike. Extra columns are kept by sampled(); an empty table gives
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, release
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Power of the present shares that the default targets are; rounds, and the error that ends them.
 SMOOTH, ROUNDS, CLOSE = 0.7, 30, 1e-6
-#: Cells in a partition while raking.
-PART = 50_000
+#: Most cells that are raked in one partition, and rounds that make one job there.
+PART, AT_ONCE = 50_000, 5
 
 
 def words_in(text: Column) -> Column:
@@ -62,47 +63,71 @@ def default_targets(cells: DataFrame) -> dict[str, DataFrame]:
 def raked(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
     """cells with `fitted`, their share of the mixture.
 
-    What a round changes is a factor for each value of a dimension: its target over the sum of its
-    cells' tokens times their factors in the other dimensions. Only these factors are written down in
-    each step, by a plan whose size doesn't depend on the steps before.
+    Up to PART cells, which is the rule, lie in one partition, where sums by window need no shuffle and
+    several rounds make one job. More of them are raked by factors of values, whose sums are
+    pre-aggregated.
     """
     cells = durable(cells.where("tokens > 0"))
     n = cells.count()
-    if not n:
-        return cells.withColumn("fitted", F.col("tokens").cast("double"))
-    parts = 1 + n // PART
-    cells = durable(cells.coalesce(parts))
-    goals, factors = {}, {}
     for d in DIMENSIONS:
         present = cells.select(F.col(d).alias("of")).distinct()
         goal = present.join(targets[d], present["of"].eqNullSafe(targets[d]["value"]), "left").select("of", F.coalesce("share", F.lit(0.0)).alias("share"))
-        total = goal.agg(F.sum("share").alias("all"))
-        goals[d] = durable(goal.crossJoin(F.broadcast(total)).select("of", F.when(F.col("all") > 0, F.col("share") / F.col("all")).otherwise(0.0).alias("share")).coalesce(parts))
-        factors[d] = goals[d].select(F.col("of").alias("value"), F.lit(1.0).alias("by"))
+        goal = goal.crossJoin(F.broadcast(goal.agg(F.sum("share").alias("all")))).select("of", F.when(F.col("all") > 0, F.col("share") / F.col("all")).otherwise(0.0).alias(f"goal_{d}"))
+        cells = durable(cells.join(goal, cells[d].eqNullSafe(goal["of"])).drop("of"))
+    fit = cells.withColumn("fitted", F.col("tokens").cast("double"))
+    if n:
+        fit = _raked_together(fit) if n <= PART else _raked_by_factors(fit)
+    return fit.drop(*[f"goal_{d}" for d in DIMENSIONS])
+
+
+def _step(goal: Column, now: Column) -> Column:
+    return F.when(now > 0, goal / now).otherwise(0.0)
+
+
+def _raked_together(fit: DataFrame) -> DataFrame:
+    for _ in range(0, ROUNDS, AT_ONCE):
+        fit = fit.coalesce(1)
+        for _ in range(AT_ONCE):
+            off = F.lit(0.0)
+            for d in DIMENSIONS:
+                fit = fit.withColumn(f"by_{d}", F.sum("fitted").over(W.partitionBy(d))).withColumn(f"by_{d}", _step(F.col(f"goal_{d}"), F.col(f"by_{d}")))
+                fit = fit.withColumn("fitted", F.col("fitted") * F.col(f"by_{d}"))
+                off = F.greatest(off, F.when(F.col("fitted") > 0, F.abs(F.col(f"by_{d}") - 1)).otherwise(0.0))
+        fit = durable(fit.withColumn("off", off).drop(*[f"by_{d}" for d in DIMENSIONS]))
+        worst = fit.agg(F.max("off")).first()[0]
+        fit = fit.drop("off")
+        if worst < CLOSE:
+            break
+    return fit
+
+
+def _raked_by_factors(fit: DataFrame) -> DataFrame:
+    """A value's factor is its target over the sum of its cells' tokens times their factors in the other
+    dimensions. Each step writes the factors of one dimension, by a plan that doesn't grow."""
+    factors = {d: durable(fit.groupBy(F.col(d).alias("value")).agg(F.max(f"goal_{d}").alias("goal"), F.lit(1.0).alias("by"))) for d in DIMENSIONS}
 
     def times(rows: DataFrame, d: str) -> DataFrame:
-        by = factors[d]
+        by = factors[d].select("value", "by")
         return rows.join(by, rows[d].eqNullSafe(by["value"])).withColumn("fitted", F.col("fitted") * F.col("by")).drop("value", "by")
 
-    start = cells.withColumn("fitted", F.col("tokens").cast("double"))
     for _ in range(ROUNDS):
         worst = 0.0
         for d in DIMENSIONS:
-            rows = start
+            rows = fit
             for other in DIMENSIONS:
                 rows = rows if other == d else times(rows, other)
-            now = rows.groupBy(F.col(d).alias("value")).agg(F.sum("fitted").alias("now"))
-            now = now.join(goals[d], now["value"].eqNullSafe(goals[d]["of"])).join(factors[d].withColumnRenamed("value", "was"), F.col("value").eqNullSafe(F.col("was")))
-            step = F.when(F.col("now") > 0, F.col("share") / F.col("now")).otherwise(0.0)
-            off = F.when((step > 0) & (F.col("by") > 0), F.abs(step / F.col("by") - 1)).otherwise(0.0)
-            found = durable(now.select("value", step.alias("by"), off.alias("off")).coalesce(parts))
+            now = rows.groupBy(F.col(d).alias("of")).agg(F.sum("fitted").alias("now"))
+            now = factors[d].join(now, F.col("value").eqNullSafe(F.col("of"))).withColumn("step", _step(F.col("goal"), F.col("now")))
+            off = F.when((F.col("step") > 0) & (F.col("by") > 0), F.abs(F.col("step") / F.col("by") - 1)).otherwise(0.0)
+            found = durable(now.select("value", "goal", F.col("step").alias("by"), off.alias("off")))
             worst = max(worst, found.agg(F.max("off")).first()[0])
-            factors[d] = found.select("value", "by")
+            factors[d] = found.drop("off")
+        release(fit.sparkSession)
         if worst < CLOSE:
             break
     for d in DIMENSIONS:
-        start = times(start, d)
-    return durable(start)
+        fit = times(fit, d)
+    return durable(fit)
 
 
 def rates(cells: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
