@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wordloom.functions import terms as T
 from wordloom.functions.separators import ALIASES, END, OFFICIALS, SEP
 from wordloom.operators import ngrams as N
-from wordloom.operators.prediction import next_words
+from wordloom.operators import vocabulary as V
+from wordloom.operators.prediction import completed, last_words, next_words, without
+from wordloom.operators.pruning import by_count
+from wordloom.sources import model
+from wordloom.streaming import dynamic
 
 
 def _docs(spark, sf_dir):
@@ -91,6 +97,76 @@ def predict_bigram_top5(spark, sf_dir):
     return next_words(_docs(spark, sf_dir), _turns(spark, sf_dir))
 
 
+def predict_exclude(spark, sf_dir):
+    """The next five after two words that were shown already."""
+    found = next_words(_docs(spark, sf_dir), _turns(spark, sf_dir), 7)
+    return without(found, found.where("rank <= 2"), 5)
+
+
+def predict_completion(spark, sf_dir):
+    """Each turn's last word of three characters or more, typed as far as its second, at a sentence's start."""
+    last = last_words(_turns(spark, sf_dir)).where((F.length("context") >= 3) & ~F.startswith("context", F.lit("\x03")))
+    typed = last.select(F.col("doc_id").alias("prompt_id"), F.lit(N.START).alias("context"), F.left("context", F.lit(2)).alias("prefix"))
+    return completed(_docs(spark, sf_dir), typed)
+
+
+def _lexicon(spark, sf_dir):
+    """The words of benchmark and their shares, in place of an external lexicon."""
+    words = N.word_counts(_items(spark, sf_dir))
+    return words.crossJoin(F.broadcast(words.agg(F.sum("cnt").alias("all")))).select("word", (F.col("cnt") / F.col("all")).alias("freq"))
+
+
+def case_stats(spark, sf_dir):
+    return V.case_stats(N.word_counts(_docs(spark, sf_dir))).withColumn("share", F.round("share", 10))
+
+
+def vocab_clean(spark, sf_dir):
+    return V.cleaned(N.word_counts(_docs(spark, sf_dir)), _lexicon(spark, sf_dir))
+
+
+def word_ids(spark, sf_dir):
+    return V.word_ids(N.word_counts(_docs(spark, sf_dir)))
+
+
+def user_words_valid(spark, sf_dir):
+    """Words of each conversation that documents lack."""
+    words = N.spoken(_said(spark, sf_dir).select(F.col("user").alias("doc_id"), "text")).select(F.col("doc_id").alias("user"), F.explode("words").alias("word")).where(~F.startswith("word", F.lit("\x03")))
+    return V.user_words(words, N.word_counts(_docs(spark, sf_dir)))
+
+
+def prune_raw_count(spark, sf_dir):
+    return _named(by_count(N.counts(_items(spark, sf_dir)), dict.fromkeys((2, 3, 4), 3)))
+
+
+def prune_order_count(spark, sf_dir):
+    return _named(by_count(N.counts(_docs(spark, sf_dir)), {2: 2, 3: 3, 4: 4})).groupBy("n").agg(F.count(F.lit(1)).alias("unique_ngrams"), F.sum("cnt").alias("total_ngrams"))
+
+
+def _said(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'").select(F.col("conv_id").alias("user"), "text")
+
+
+def _shown(counted):
+    return counted.withColumn("gram", F.replace("gram", F.lit("\x02"), F.lit("")))
+
+
+def dynamic_counts(spark, sf_dir):
+    return _shown(dynamic.counted(_said(spark, sf_dir)))
+
+
+def stream_dynamic_counts(spark, sf_dir):
+    rows = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/conversations.parquet").schema).parquet(f"{sf_dir}/conversations[.]parquet")  # as a pattern: a stream's plain path must be a folder
+    return _shown(dynamic.stream_counts(rows.where("role = 'user'").select(F.col("conv_id").alias("user"), "text")))
+
+
+def model_roundtrip(spark, sf_dir):
+    """Totals of a model that was written and read again."""
+    at = f"{dynamic.shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    model.save(N.counts(_items(spark, sf_dir)), V.word_ids(N.word_counts(_items(spark, sf_dir))), at)
+    grams, _ = model.load(spark, at)
+    return grams.groupBy("n").agg(F.count(F.lit(1)).alias("unique_ngrams"), F.sum("cnt").alias("total_ngrams"))
+
+
 def fifo_distinct(spark, sf_dir):
     """Distinct event types among a user's last four events."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type")
@@ -106,7 +182,7 @@ def flagship(spark, sf_dir):
     return predict_bigram_top5(spark, sf_dir)
 
 
-_ALL = [tok_counts, tok_separator_hist, term_ec_counts, sentence_stats, start_end_until_separator, word_counts, ngram_counts, ngram_totals, discount_by_order, context_bow, backoff_prob, prob_sum_check, predict_bigram_top5, fifo_distinct]
+_ALL = [tok_counts, tok_separator_hist, term_ec_counts, sentence_stats, start_end_until_separator, word_counts, ngram_counts, ngram_totals, discount_by_order, context_bow, backoff_prob, prob_sum_check, predict_bigram_top5, predict_exclude, predict_completion, case_stats, vocab_clean, word_ids, user_words_valid, prune_raw_count, prune_order_count, dynamic_counts, stream_dynamic_counts, model_roundtrip, fifo_distinct]
 
 
 def queries() -> dict:
@@ -174,7 +250,51 @@ def oracle_sql() -> dict:
     prompts = _terms_sql("conversations", "conv_id * 100000 + turn", "role = 'user'")
     for name in ("canon", "marked", "found", "flat", "term", "kinds", "numbered", "spoken", "word"):
         prompts = prompts.replace(f"{name} AS (", f"{name}_p AS (").replace(f"FROM {name})", f"FROM {name}_p)").replace(f"FROM {name} ", f"FROM {name}_p ")
+    words = "SELECT w AS word, count(*) AS cnt FROM word WHERE NOT starts_with(w, chr(3)) GROUP BY w"
+    said = _terms_sql("conversations", "conv_id * 100000 + turn", "role = 'user'")
+    pruned = """,
+k4 AS (SELECT * FROM grams WHERE n = 4 AND cnt >= {4}),
+k3 AS (SELECT * FROM grams g WHERE n = 3 AND (cnt >= {3} OR EXISTS (SELECT 1 FROM k4 WHERE k4.w1 = g.w1 AND k4.w2 = g.w2 AND k4.w3 = g.w3))),
+k2 AS (SELECT * FROM grams g WHERE n = 2 AND (cnt >= {2} OR EXISTS (SELECT 1 FROM k3 WHERE k3.w1 = g.w1 AND k3.w2 = g.w2))),
+kept AS (SELECT * FROM k4 UNION ALL SELECT * FROM k3 UNION ALL SELECT * FROM k2 UNION ALL SELECT * FROM grams WHERE n = 1)"""
+    lags = ", ".join(f"coalesce(lag(w, {k}) OVER s, 'START') AS l{k}" for k in (1, 2, 3))
+    ends = " UNION ALL ".join(f"SELECT u, {n} AS n, concat_ws(' ', {', '.join([*(f'l{k}' for k in range(n - 1, 0, -1)), 'w'])}) AS gram FROM lagged{' WHERE i > 1' if n > 2 else ''}" for n in (1, 2, 3, 4))
+    dynamic_sql = f"WITH {said}, lagged AS (SELECT doc_id // 100000 AS u, i, w, {lags} FROM word WINDOW s AS (PARTITION BY doc_id, sent ORDER BY i)) SELECT u AS user, n, gram, count(*) AS cnt FROM ({ends}) GROUP BY ALL"
+    lex = items
+    for name in ("canon", "marked", "found", "flat", "term", "kinds", "numbered", "spoken", "word"):
+        lex = lex.replace(f"{name} AS (", f"{name}_l AS (").replace(f"FROM {name})", f"FROM {name}_l)").replace(f"FROM {name} ", f"FROM {name}_l ")
+    totals = "SELECT n, count(*) AS unique_ngrams, sum(cnt)::BIGINT AS total_ngrams"
+    ranked_sql = f"""WITH {docs}{_grams_sql(2)}{_BIGRAMS}, {prompts}, asked AS ({asked}),
+need AS (SELECT DISTINCT context FROM asked),
+scored AS (SELECT need.context, uni.word, round(coalesce(big.f1, 0) + coalesce(bows.bow, 1) * f0, 10) AS score
+  FROM need CROSS JOIN uni LEFT JOIN bows ON bows.context = need.context LEFT JOIN big ON big.context = need.context AND big.word = uni.word
+  WHERE uni.word <> 'START' AND NOT starts_with(uni.word, chr(3))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY context ORDER BY score DESC, word) AS rank FROM scored)"""
     return {
+        "predict_exclude": f"{ranked_sql} SELECT doc_id AS prompt_id, rank - 2 AS rank, word, score FROM asked JOIN ranked USING (context) WHERE rank BETWEEN 3 AND 7",
+        "predict_completion": f"""WITH {docs}{_grams_sql(2)}{_BIGRAMS}, {prompts}, asked AS ({asked}),
+typed AS (SELECT doc_id, left(context, 2) AS prefix FROM asked WHERE length(context) >= 3 AND NOT starts_with(context, chr(3))),
+scored AS (SELECT prefix, uni.word, round(coalesce(f1, 0) + coalesce((SELECT bow FROM bows WHERE context = 'START'), 1) * f0, 10) AS score
+  FROM (SELECT DISTINCT prefix FROM typed) JOIN uni ON left(uni.word, 2) = prefix LEFT JOIN big ON big.context = 'START' AND big.word = uni.word
+  WHERE uni.word <> 'START' AND NOT starts_with(uni.word, chr(3))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY score DESC, word) AS rank FROM scored)
+SELECT doc_id AS prompt_id, rank, word, score FROM typed JOIN ranked USING (prefix) WHERE rank <= 5""",
+        "case_stats": f"WITH {docs}, c AS ({words}) SELECT a.word, a.cnt AS upper, b.cnt AS lower, round(b.cnt / (a.cnt + b.cnt), 10) AS share FROM c a JOIN c b ON b.word = lower(a.word) WHERE regexp_matches(a.word, '^\\p{{Lu}}')",
+        "vocab_clean": f"""WITH {docs}, {lex}, c AS ({words}),
+lx AS (SELECT w AS word, count(*) / sum(count(*)) OVER () AS freq FROM word_l WHERE NOT starts_with(w, chr(3)) GROUP BY w),
+f AS (SELECT a.word, a.cnt, CASE WHEN b.cnt / (a.cnt + b.cnt) >= 0.35 THEN b.word ELSE a.word END AS form, CASE WHEN b.cnt / (a.cnt + b.cnt) >= 0.35 THEN b.cnt ELSE a.cnt END AS fc
+  FROM c a LEFT JOIN c b ON b.word = lower(a.word) AND regexp_matches(a.word, '^\\p{{Lu}}'))
+SELECT f.word, cnt, CASE WHEN x.freq IS NOT NULL OR fc > 20 THEN form
+  WHEN regexp_matches(form, '^\\p{{Lu}}') AND y.freq > 0 THEN CASE WHEN y.freq > 1e-8 THEN y.word ELSE form END
+  WHEN form <> lower(form) AND z.freq > 0 THEN CASE WHEN z.freq > 1e-8 THEN z.word ELSE form END END AS kept
+FROM f LEFT JOIN lx x ON x.word = form LEFT JOIN lx y ON y.word = lower(form[1]) || form[2:] LEFT JOIN lx z ON z.word = lower(form)""",
+        "word_ids": f"WITH {docs} SELECT word, cnt, 16 + row_number() OVER (ORDER BY cnt DESC, word) AS word_id FROM ({words})",
+        "user_words_valid": f"WITH {docs}, {prompts} SELECT u AS user, w AS word, count(*) AS cnt, count(*) >= 10 AS valid FROM (SELECT doc_id // 100000 AS u, w FROM word_p) WHERE NOT starts_with(w, chr(3)) AND length(w) > 2 AND w NOT IN (SELECT w FROM word) GROUP BY ALL",
+        "prune_raw_count": f"WITH {items}{_grams_sql(4)}{pruned.replace('{4}', '3').replace('{3}', '3').replace('{2}', '3')} SELECT * FROM kept",
+        "prune_order_count": f"WITH {docs}{_grams_sql(4)}{pruned.replace('{4}', '4').replace('{3}', '3').replace('{2}', '2')} {totals} FROM kept GROUP BY n",
+        "dynamic_counts": dynamic_sql,
+        "stream_dynamic_counts": dynamic_sql,
+        "model_roundtrip": f"WITH {items}{_grams_sql(4)} {totals} FROM grams GROUP BY n",
         "tok_counts": f"SELECT doc_id, len(regexp_extract_all(t, '[^{SEP}]+')) AS words, len(regexp_extract_all(t, '[{SEP}]')) AS separators FROM (SELECT doc_id, {_CANON} AS t FROM documents)",
         "tok_separator_hist": f"SELECT sep, count(*) AS n FROM (SELECT unnest(regexp_extract_all({_CANON}, '[{SEP}]')) AS sep FROM documents) GROUP BY sep",
         "term_ec_counts": f"WITH {docs} SELECT kind, CASE kind WHEN 'PERCENT' THEN replace(replace(term, ' ', ''), '.', ',') WHEN 'DECIMAL' THEN replace(term, '.', ',') WHEN 'ACRONYM' THEN replace(term, '.', '') ELSE term END AS value, count(*) AS n FROM kinds WHERE kind <> 'SEPARATOR' GROUP BY ALL",
