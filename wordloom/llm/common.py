@@ -31,9 +31,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read from there: its lineage is cut and it outlives executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df as compressed Parquet in the shared folder, read from there: its lineage is cut and it outlives executors.
+
+    Unlike checkpoint(), its last stage runs once, rows take few bytes, and neither the
+    constraints nor the statistics of old plans pile up in the driver.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/wordloom-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
@@ -42,14 +48,6 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """As durable(), as compressed Parquet; for tables with large binary columns."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/wordloom-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Texts can be long: keep the batches that cross to Python small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, durable, partitions, release, rows_of, small_batches, written
+from .common import components, durable, partitions, release, rows_of, small_batches
 from .words import bounds, hashes, mixed, pieces, shingles, utf8
 
 WIDTH = 5
@@ -342,7 +342,7 @@ def stored_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([_signed([x for x, _ in found]), pa.array([packed(s) for _, s in found], pa.binary())], ["cls", "shingles"])
 
     rows = rows_of(docs.selectExpr("cast(doc_id as long) doc_id", "text"), "doc_id", wanted).dropDuplicates(["doc_id", "text"])
-    return written(rows.select("text").mapInArrow(run, "cls long, shingles binary"))
+    return durable(rows.select("text").mapInArrow(run, "cls long, shingles binary"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:

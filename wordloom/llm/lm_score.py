@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, release, small_batches, written
+from .common import durable, partitions, release, small_batches
 from .words import bounds, hashes, pieces, utf8
 
 #: Stand-ins for the end and the start of a text, and bytes of text in a block.
@@ -211,11 +211,11 @@ def scores(docs: DataFrame, held_out) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    blocks = written(rows.mapInArrow(gathered, "block long, data binary").withColumn("block", F.xxhash64("block", F.monotonically_increasing_id())))
+    blocks = durable(rows.mapInArrow(gathered, "block long, data binary").withColumn("block", F.xxhash64("block", F.monotonically_increasing_id())))
     buckets = max(partitions(spark), blocks.count())
     small_batches(spark, 1)
     questions = blocks.mapInArrow(asked(buckets), "bucket int, block long, words binary, counts binary, per binary, next binary, pairs binary")
-    answers = written(questions.groupBy("bucket").applyInArrow(summed, ANSWER))
+    answers = durable(questions.groupBy("bucket").applyInArrow(summed, ANSWER))
     del questions
     release(spark)
     n, v, once, twice = (x or 0 for x in answers.agg(*[F.sum(c) for c in ("n", "v", "once", "twice")]).first())
