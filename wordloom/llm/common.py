@@ -103,13 +103,13 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         .distinct()
     )
     for _ in range(rounds):
-        if edges.select(F.col("v").alias("u")).distinct().join(edges.select("u").distinct(), "u", "left_semi").isEmpty():
-            roots = edges.groupBy("u").agg(F.countDistinct("v").alias("n")).where("n > 1")
-            if roots.isEmpty():
-                break  # stars around their smallest nodes
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = durable(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        both = edges.select("u", "v", F.lit(True).alias("up")).unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), F.lit(False).alias("up")))
+        above = F.when(F.col("up"), F.col("v"))
+        mixed_up = (F.max("up") & ~F.min("up")) | (F.min(above) < F.max(above))  # links both ways, or up to two nodes
+        low = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.coalesce(mixed_up, F.lit(False)).alias("open")))
+        if low.where("open").isEmpty():
+            break  # stars around their smallest nodes
+        large = durable(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
         low = durable(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v")))
         edges = durable(small.distinct())

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, durable, partitions, release, rows_of, small_batches
+from .common import components, durable, maybe_in, partitions, release, rows_of, small_batches
 from .words import bounds, hashes, mixed, pieces, shingles, utf8
 
 WIDTH = 5
@@ -358,6 +358,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             out = np.array(out, dtype=np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([a, b, *[pa.array(out[:, i]) for i in range(3)]], ["a", "b", "shared", "size_a", "size_b"])
 
+    pairs = durable(pairs.select("a", "b"))
+    named = durable(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+    sets = maybe_in(sets, "cls", named).where("maybe")
     joined = pairs.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("right")), "b")
     joined = joined.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("left")), "a")
     return joined.select("a", "b", "left", "right").mapInArrow(run, "a long, b long, shared long, size_a long, size_b long")
@@ -397,7 +400,7 @@ def pivot_links(rows: DataFrame, sets: DataFrame) -> list[DataFrame]:
         return links
     left = left.join(size, "grp").withColumn("side", F.expr("pmod(xxhash64(cls), sides)"))
     dealt = left.select("grp", "cls", "side", F.explode(F.expr("sequence(0, sides - 1)")).alias("other"))
-    dealt = dealt.select(F.expr("xxhash64(grp, least(side, other), greatest(side, other))").alias("task"), "cls").join(sets, "cls")
+    dealt = dealt.select(F.expr("xxhash64(grp, least(side, other), greatest(side, other))").alias("task"), "cls").join(rows_of(sets, "cls", durable(left.select("cls").distinct())), "cls")
     links.append(durable(dealt.groupBy("task").applyInArrow(_forest, "a long, b long")))
     return links
 
@@ -460,7 +463,7 @@ def linked_classes(docs: DataFrame, slim: DataFrame, width: int = WIDTH) -> Data
     sets = stored_sets(docs, durable(reps.join(touched, "cls", "left_semi").select("doc_id")), width)
     links = []
     if not hot.isEmpty():
-        of_hot = sets.join(hot.select("cls"), "cls", "left_semi")
+        of_hot = rows_of(sets, "cls", durable(hot.select("cls").distinct()))
 
         def single(batches):
             items = ((c, unpacked(s.as_buffer())) for batch in batches for c, s in zip(batch.column(0).to_numpy().view(np.uint64).tolist(), batch.column(1), strict=True))
@@ -469,7 +472,7 @@ def linked_classes(docs: DataFrame, slim: DataFrame, width: int = WIDTH) -> Data
         more, hotter = candidates(of_hot.mapInArrow(single, BUCKETS), True)
         pairs = durable(pairs.union(more))
         release(spark)
-        deep = hotter.where("hot >= need")
+        deep = durable(hotter.where("hot >= need").select("cls").distinct())
 
         def prefix(batches):
             for batch in batches:
@@ -482,7 +485,7 @@ def linked_classes(docs: DataFrame, slim: DataFrame, width: int = WIDTH) -> Data
                 if cls:
                     yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), pa.array(np.concatenate(cls))], ["key", "cls"])
 
-        links = pivot_links(of_hot.join(deep.select("cls"), "cls", "left_semi").mapInArrow(prefix, "key long, cls long"), sets)
+        links = pivot_links(rows_of(sets, "cls", deep).mapInArrow(prefix, "key long, cls long"), sets)
         release(spark)
     return spanning_links(pairs, sets, links)
 
