@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from wordloom.llm.jaccard_join import WINDOWS, allocation, largest_partner, most_apart, one_of_each, signature_keys, similar_groups
+from wordloom.llm.jaccard_join import WINDOWS, allocation, cells_of, largest_partner, least_apart, most_apart, one_of_each, signature_keys, similar_groups
 
 
 def words(text):
@@ -98,3 +98,12 @@ def test_one_of_each_keeps_columns(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     out = one_of_each(df)
     assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [1, 2, 4]
+
+
+def test_bitmaps_never_set_near_sets_apart():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 7, 40, 900):
+        for _ in range(30):
+            pool = np.unique(rng.integers(0, 1 << 48, 2 * n, dtype=np.uint64)) << np.uint64(16)
+            a, b = (np.sort(rng.choice(pool, rng.integers(1, len(pool) + 1), replace=False)) for _ in range(2))
+            assert least_apart(cells_of(a), cells_of(b)) <= len(np.setxor1d(a, b))

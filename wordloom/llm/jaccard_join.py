@@ -345,6 +345,42 @@ def stored_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return durable(rows.select("text").mapInArrow(run, "cls long, shingles binary"))
 
 
+def cells_of(keys: np.ndarray) -> np.ndarray:
+    """A bitmap of the hash cells that a set has, 4 to 8 cells for each shingle."""
+    n = max(64, 1 << (4 * len(keys) - 1).bit_length())
+    bits = np.zeros(n, np.uint8)
+    bits[(keys >> np.uint64(16)) & np.uint64(n - 1)] = 1
+    return np.packbits(bits, bitorder="little")
+
+
+def least_apart(x: np.ndarray, y: np.ndarray) -> int:
+    """In how many shingles the sets of two bitmaps differ at least: a cell that only one has takes one of them."""
+    n = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(z.reshape(-1, n), axis=0) for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs but for those whose bitmaps of cells, a tenth of the sets' bytes, prove them too far apart."""
+
+    def cells(batches):
+        for batch in batches:
+            own = [unpacked(s.as_buffer()) for s in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array([cells_of(s).tobytes() for s in own], pa.binary())], ["cls", "n", "cells"])
+
+    def near(batches):
+        for batch in batches:
+            sizes = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            both = zip(*([np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(i)] for i in (4, 5)), strict=True)
+            keep = [least_apart(x, y) <= most_apart(n, m) for (n, m), (x, y) in zip(sizes, both, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    named = durable(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+    of = durable(maybe_in(sets, "cls", named).where("maybe").select("cls", "shingles").mapInArrow(cells, "cls long, n long, cells binary"))
+    joined = pairs.join(of.selectExpr("cls as b", "n as nb", "cells as right"), "b").join(of.selectExpr("cls as a", "n as na", "cells as left"), "a")
+    return joined.select("a", "b", "na", "nb", "left", "right").mapInArrow(near, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, shared, size_a, size_b): the exact intersection of each pair."""
 
@@ -359,6 +395,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([a, b, *[pa.array(out[:, i]) for i in range(3)]], ["a", "b", "shared", "size_a", "size_b"])
 
     pairs = durable(pairs.select("a", "b"))
+    release(pairs.sparkSession)
     named = durable(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
     sets = maybe_in(sets, "cls", named).where("maybe")
     joined = pairs.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("right")), "b")
@@ -383,6 +420,7 @@ def pivot_links(rows: DataFrame, sets: DataFrame) -> list[DataFrame]:
     left = durable(group.selectExpr("component as grp", "node as cls"))
     links = []
     for turn in range(ROUNDS):
+        release(rows.sparkSession)
         size = durable(left.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("first")).where("n > 1"))
         if size.isEmpty():
             return links
@@ -461,6 +499,7 @@ def linked_classes(docs: DataFrame, slim: DataFrame, width: int = WIDTH) -> Data
     reps = slim.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     touched = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).union(hot.select("cls")).distinct()
     sets = stored_sets(docs, durable(reps.join(touched, "cls", "left_semi").select("doc_id")), width)
+    release(spark)
     links = []
     if not hot.isEmpty():
         of_hot = rows_of(sets, "cls", durable(hot.select("cls").distinct()))
@@ -506,7 +545,8 @@ def spanning_links(pairs: DataFrame, sets: DataFrame, links: list[DataFrame]) ->
     of = durable(components(found))
     other = pairs.join(of.selectExpr("node as a", "component as ca"), "a", "left").join(of.selectExpr("node as b", "component as cb"), "b", "left")
     other = durable(other.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b").join(first, ["a", "b"], "left_anti"))
-    more = durable(verified(other, sets).where(LINKED).select("a", "b"))
+    release(pairs.sparkSession)
+    more = durable(verified(plausible(other, sets), sets).where(LINKED).select("a", "b"))
     return of if more.isEmpty() else components(of.selectExpr("node as a", "component as b").union(more))
 
 
