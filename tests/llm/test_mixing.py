@@ -61,3 +61,23 @@ def test_mixture_rows_and_columns(spark):
 def test_nothing_to_weigh(spark, data):
     df = spark.createDataFrame(data, SCHEMA)
     assert sampled(df).count() == 0 and mixture(df).count() == len(data)
+
+
+def test_one_tiny_cell_does_not_set_the_size(spark):
+    data = [(i, "w " * 40, "a" if i % 3 else "b", "x", 1, "z") for i in range(2000)] + [(9999, "12345678 9", "c", "y", 1, "z")]
+    df = spark.createDataFrame(data, SCHEMA)
+    fit = rates(weighed(df)).collect()
+    tokens = sum(r.tokens for r in fit)
+    assert math.isclose(sum(r.tokens * r.rate for r in fit), 0.5 * tokens, rel_tol=1e-4)
+    tiny = next(r for r in fit if r.source == "c")
+    assert tiny.rate == 1 and tiny.wanted > 1  # falls short, and says so
+    free = [r for r in fit if r.rate < 1]
+    assert free and all(r.rate == r.wanted for r in free)
+    assert max(r.wanted * r.tokens / r.fitted for r in fit) == pytest.approx(min(r.wanted * r.tokens / r.fitted for r in fit))
+    kept = [r for r in mixture(df).collect() if r.kept]
+    assert abs(len(kept) - 1000) < 100 and 9999 in {r.doc_id for r in kept}
+
+
+def test_more_than_the_budget_where_no_cell_falls_short(spark):
+    df = spark.createDataFrame([(i, "w " * 40, "ab"[i % 2], "x", 1, "z") for i in range(400)], SCHEMA)
+    assert all(r.rate == pytest.approx(1) for r in rates(weighed(df)).collect())

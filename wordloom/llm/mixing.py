@@ -2,8 +2,11 @@
 
 Documents fall into cells of source, language and topic; a cell weighs its tokens. Raking scales the
 cells to the target share of each source, then of each language, then of each topic, and again, until
-all marginals hold. A cell's fitted weight over its tokens, scaled so that the most favoured cell keeps
-all, is the probability with which each of its documents is drawn, by a hash of its id and text.
+all marginals hold. A cell's fitted weight over its tokens, times one factor for all cells, is how often
+each of its documents is wanted; up to 1 it is the probability with which it is drawn, by a hash of its id
+and text. The factor is such that BUDGET of the tokens are drawn, or more where that leaves no cell short.
+A cell whose documents are wanted more than once falls short: all of it is kept, nothing is repeated, and
+`wanted` says by how much.
 
 By default the targets are the present shares raised to the power SMOOTH and made to sum to one, which
 lifts rare sources, languages and topics. Topic is what `topic_of` says of the text, for there is no
@@ -26,6 +29,8 @@ from .common import durable, release
 DIMENSIONS = ("source", "lang", "topic")
 #: Power of the present shares that the default targets are; rounds, and the error that ends them.
 SMOOTH, ROUNDS, CLOSE = 0.7, 30, 1e-6
+#: Share of the tokens, of those that have a target, that is drawn at least.
+BUDGET = 0.5
 #: Most cells that are raked in one partition, and rounds that make one job there.
 PART, AT_ONCE = 50_000, 5
 
@@ -130,27 +135,47 @@ def _raked_by_factors(fit: DataFrame) -> DataFrame:
     return durable(fit)
 
 
-def rates(cells: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """cells with `fitted` and `rate`, the probability with which a document of the cell is drawn."""
+def _factor(fit: DataFrame, budget: float) -> float:
+    """The factor of fitted with which min(tokens, factor * fitted) sums to the budget, or the one that fills
+    the first cell, if larger.
+
+    The sum is concave and piecewise linear in the factor: Newton's steps come from below and end on it.
+    """
+    first = fit.where("fitted > 0").agg(F.min(F.col("tokens") / F.col("fitted")).alias("factor"), F.sum("tokens").alias("tokens")).first()
+    if first.factor is None:
+        return 0.0
+    factor, goal = first.factor, budget * first.tokens
+    while True:
+        full = F.col("fitted") * factor >= F.col("tokens")
+        now = fit.where("fitted > 0").agg(F.sum(F.when(full, F.col("tokens")).otherwise(F.col("fitted") * factor)).alias("sum"), F.sum(F.when(~full, F.col("fitted"))).alias("slope")).first()
+        if not now.slope or now.sum >= goal * (1 - CLOSE):
+            return factor
+        factor += (goal - now.sum) / now.slope
+
+
+def rates(cells: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET) -> DataFrame:
+    """cells with `fitted`, `wanted`, how often a document of the cell is wanted, and `rate`, the probability
+    with which it is drawn."""
     fit = raked(cells, targets or default_targets(cells))
-    most = fit.agg(F.max(F.col("fitted") / F.col("tokens")).alias("most"))
-    return durable(fit.crossJoin(F.broadcast(most)).withColumn("rate", F.when(F.col("most") > 0, F.col("fitted") / F.col("tokens") / F.col("most")).otherwise(0.0)).drop("most"))
+    wanted = F.col("fitted") / F.col("tokens") * F.lit(_factor(fit, budget))
+    full = wanted >= 1 - 1e-12
+    return durable(fit.withColumn("wanted", wanted).withColumn("rate", F.when(full, 1.0).otherwise(wanted)))
 
 
 def drawn(docs: DataFrame, cells: DataFrame, seed: int = 1) -> DataFrame:
-    """docs with topic, tokens, rate and kept."""
+    """docs with topic, tokens, wanted, rate and kept."""
     out = docs.withColumn("topic", topic_of(F.col("text"))).withColumn("tokens", words_in(F.col("text")))
-    r = F.broadcast(cells.select(*[F.col(d).alias(f"of_{d}") for d in DIMENSIONS], "rate")) if cells.count() <= 100_000 else cells.select(*[F.col(d).alias(f"of_{d}") for d in DIMENSIONS], "rate")
+    r = F.broadcast(cells.select(*[F.col(d).alias(f"of_{d}") for d in DIMENSIONS], "wanted", "rate")) if cells.count() <= 100_000 else cells.select(*[F.col(d).alias(f"of_{d}") for d in DIMENSIONS], "wanted", "rate")
     on = [F.col(d).cast("string").eqNullSafe(F.col(f"of_{d}")) for d in DIMENSIONS]
     chance = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(seed)), 11) / F.lit(float(1 << 53))
     out = out.join(r, on[0] & on[1] & on[2], "left").drop(*[f"of_{d}" for d in DIMENSIONS])
-    return out.withColumn("rate", F.coalesce("rate", F.lit(0.0))).withColumn("kept", chance < F.col("rate"))
+    return out.fillna(0.0, ["wanted", "rate"]).withColumn("kept", chance < F.col("rate"))
 
 
 def mixture(docs: DataFrame, seed: int = 1) -> DataFrame:
-    """One row per row of docs: doc_id, source, lang, topic, tokens, rate, kept."""
+    """One row per row of docs: doc_id, source, lang, topic, tokens, wanted, rate, kept."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang")
-    return drawn(slim, rates(weighed(docs)), seed).select("doc_id", "source", "lang", "topic", "tokens", "rate", "kept")
+    return drawn(slim, rates(weighed(docs)), seed).select("doc_id", "source", "lang", "topic", "tokens", "wanted", "rate", "kept")
 
 
 def sampled(docs: DataFrame, seed: int = 1) -> DataFrame:
