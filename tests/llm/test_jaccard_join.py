@@ -107,3 +107,21 @@ def test_bitmaps_never_set_near_sets_apart():
             pool = np.unique(rng.integers(0, 1 << 48, 2 * n, dtype=np.uint64)) << np.uint64(16)
             a, b = (np.sort(rng.choice(pool, rng.integers(1, len(pool) + 1), replace=False)) for _ in range(2))
             assert least_apart(cells_of(a), cells_of(b)) <= len(np.setxor1d(a, b))
+
+
+@pytest.mark.parametrize("own", [4, 9, 18])
+def test_borderline_pairs_that_share_a_passage(spark, own):
+    """Short texts at the similarity limit, whose common passage hundreds of others have."""
+    r = random.Random(own)
+    passage = [f"p{k}" for k in range(2 * own)]
+    rows = [(i, " ".join(passage + [f"u{i}_{k}" for k in range(3 * own)])) for i in range(200)]
+    for i in range(200, 500, 2):
+        a = passage + [f"a{i}_{k}" for k in range(3 * own)]
+        n = len(a) - 4
+        for cut in range(1, n):  # the last words differ: as many as the limit leaves
+            if 100 * (n - cut) < 75 * (n + cut):
+                break
+        cut -= 1
+        rows += [(i, " ".join(a)), (i + 1, " ".join(a[: len(a) - cut] + [f"b{i}_{k}" for k in range(cut)]))]
+    r.shuffle(rows)
+    assert got(spark, rows) == brute(rows)

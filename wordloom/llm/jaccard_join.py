@@ -325,12 +325,16 @@ def candidates(blocks: DataFrame, single: bool) -> tuple[DataFrame, DataFrame]:
         .groupBy("a", "b")
         .agg(F.sum("shared").alias("shared"), F.max("need").alias("need"), F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b"))
     )
-    hot = found.where("b is null and shared >= need" if not single else "b is null").select(F.col("a").alias("cls"), F.col("shared").alias("hot"), F.col("size_a").alias("size"), "need")
-    hot = durable(hot)
-    ha, hb = hot.selectExpr("cls as a", "hot as hot_a"), hot.selectExpr("cls as b", "hot as hot_b")
-    pairs = found.where("b is not null").join(ha, "a", "left").join(hb, "b", "left")
-    enough = F.col("shared") + F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0))) >= F.col("need")
-    return pairs.where(enough).select("a", "b"), hot
+    every = durable(found.where("b is null").select(F.col("a").alias("cls"), F.col("shared").alias("hot"), F.col("size_a").alias("size"), "need"))
+    hot = every if single else durable(every.where("hot >= need"))
+    pairs = found.where("b is not null").select("a", "b", "shared", "need")
+    # A pair short of units needs hot ones of both classes, whether or not those go a further way.
+    short = pairs.where("shared < need")
+    for side in ("a", "b"):
+        short = maybe_in(short, side, every.select(F.col("cls").alias(side))).where("maybe").drop("maybe")
+    short = short.join(every.selectExpr("cls as a", "hot as hot_a"), "a").join(every.selectExpr("cls as b", "hot as hot_b"), "b")
+    enough = F.col("shared") + F.least("hot_a", "hot_b") >= F.col("need")
+    return pairs.where("shared >= need").select("a", "b").union(short.where(enough).select("a", "b")), hot
 
 
 def stored_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
