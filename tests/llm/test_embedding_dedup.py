@@ -41,3 +41,19 @@ def test_against_brute_force(spark):
     tail = {x[0]: x for x in got}
     assert tail[20_005][1] == 2 and all(tail[20_000 + i][1] == 0 for i in (0, 1, 2, 3, 4, 7))
     assert near_vectors(df.limit(0)).count() == 0
+
+
+def test_threshold_pairs_of_a_large_label_off_centre(spark):
+    """Unlike vectors have a cosine of about 0.5; planted pairs lie just above the threshold."""
+    r = np.random.default_rng(8)
+    n, pairs, size = 10_000, 600, 64
+    mean = np.ones(size) / np.sqrt(size)
+    x = mean + r.standard_normal((n, size)) / np.sqrt(size)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = r.standard_normal((pairs, size))
+    y -= (y * x[:pairs]).sum(1, keepdims=True) * x[:pairs]
+    y = 0.932 * x[:pairs] + np.sqrt(1 - 0.932**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([x, y]))]
+    out = {r.vec_id: r for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    found = [out[i].component_id == out[n + i].component_id and out[n + i].n_links > 0 for i in range(pairs)]
+    assert np.mean(found) >= 0.97

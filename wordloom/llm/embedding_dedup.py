@@ -1,10 +1,12 @@
 """Near-dedup of embeddings by sorted projection passes.
 
 Vectors of a label that are equal in every component are one class. In each pass classes are ordered by
-label and by the signs of their products with random directions, written one after another; each class
-is compared with the WINDOW next ones of its label in that order. Verified pairs of all passes are
-united. A window is a bound on neighbours, so the exact rest follows: within each component, classes
-are compared in blocks of SIDE, and counted, so that n_links holds every link inside a component.
+label and by the signs of their products, less the label's mean, with random directions; each class is
+compared with the WINDOW next ones of its label in that order. A label of up to WINDOW + 1 classes is so
+compared whole in one pass. Larger ones get as many passes as find a pair at the threshold with
+probability RECALL, by the model in `turns_of`: more classes of a label, more passes. Links are found with
+that probability, not for certain. Of a component that they make up all links are then counted exactly,
+by blocks of SIDE; links between two components that no pass joined are missing from n_links.
 
 Ordering is a range partitioning; a partition's last rows meet the next partition's first ones in a
 second step. No label lands in one task.
@@ -16,6 +18,8 @@ a row of the result; component_id is the smallest vec_id, nulls aside. Extra col
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -24,8 +28,11 @@ from pyspark.sql import functions as F
 
 from .common import components, durable, partitions, small_batches
 
-#: Cosine from which two vectors link; passes, neighbours compared in each, random directions of a pass.
-COSINE, PASSES, WINDOW, BITS = 0.93, 10, 24, 32
+#: Cosine from which two vectors link; neighbours compared in each pass, random directions of a pass.
+COSINE, WINDOW, BITS = 0.93, 512, 32
+#: Probability with which a pair at the threshold is to be found; how often its signs agree. That is for
+#: pairs of a label whose others have a cosine of 0.5 at most: without the mean theirs is 0.86.
+RECALL, AGREE = 0.98, 1 - math.acos(1 - (1 - COSINE) / 0.5) / math.pi
 #: Classes of a block in the exact count within components.
 SIDE = 1024
 
@@ -51,65 +58,111 @@ def classes(rows: DataFrame) -> DataFrame:
     return durable(slim.mapInArrow(run, "vec_id long, label string, vec binary").withColumn("cls", F.when(F.col("vec").isNotNull(), F.xxhash64("label", "vec"))))
 
 
-def _close(vecs: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which of the pairs of indices reach the cosine."""
-    width = {len(v) for v in vecs}
-    if len(width) == 1:
-        x = np.frombuffer(b"".join(vecs)).reshape(len(vecs), -1)
-        return np.concatenate([np.einsum("ij,ij->i", x[a[i : i + 65536]], x[b[i : i + 65536]]) >= COSINE for i in range(0, len(a), 65536)] or [np.zeros(0, bool)])
-    own = [np.frombuffer(v) for v in vecs]
-    return np.array([len(own[i]) == len(own[j]) and own[i] @ own[j] >= COSINE for i, j in zip(a, b, strict=True)], dtype=bool)
+def turns_of(n: int) -> int:
+    """Passes for a label of n classes. About log2(n / WINDOW) signs must agree for two to be in a window."""
+    if n <= WINDOW + 1:
+        return 1
+    return math.ceil(math.log(1 - RECALL) / math.log1p(-(AGREE ** math.log2(n / WINDOW))))
+
 
+def _matrix(vecs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors as rows, shorter ones padded by zeros, and their lengths."""
+    width = np.array([len(v) for v in vecs])
+    return np.frombuffer(b"".join(v.ljust(width.max(), b"\0") for v in vecs)).reshape(len(vecs), -1), width
 
-def _window_links(label, cls, vecs, tail=None):
-    """Verified pairs of each row with the next WINDOW ones of its label; tail: rows before it start a pair."""
+
+def _window_links(label, cls, vecs, until=None, since=0):
+    """Links (a, b) that connect what verified pairs connect: of rows before `until` with the WINDOW next ones
+    of their label, from `since` on."""
     n = len(cls)
-    label = np.array(label, dtype=object)
+    if n < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    label = np.unique(np.array(label, dtype=object), return_inverse=True)[1]
+    x, width = _matrix(vecs)
+    until = n if until is None else until
     a, b = [], []
-    for step in range(1, WINDOW + 1):
-        i = np.arange(max(0, n - step))
-        if tail is not None:
-            i = i[(i < tail) & (i + step >= tail)]
-        i = i[label[i] == label[i + step]]
-        a.append(i)
-        b.append(i + step)
-    a, b = np.concatenate(a), np.concatenate(b)
-    ok = _close(vecs, a, b) if len(a) else np.zeros(0, bool)
+    for i in range(max(0, since - WINDOW), until, WINDOW):
+        left, right = slice(i, min(i + WINDOW, until)), slice(max(i, since), min(i + 2 * WINDOW, n))
+        p, q = np.nonzero(x[left] @ x[right].T >= COSINE)
+        p, q = p + left.start, q + right.start
+        ok = (q > p) & (q <= p + WINDOW)
+        ok[ok] = (label[p[ok]] == label[q[ok]]) & (width[p[ok]] == width[q[ok]])
+        a.append(p[ok])
+        b.append(q[ok])
+    a, b = np.concatenate(a or [np.zeros(0, int)]), np.concatenate(b or [np.zeros(0, int)])
+    root = np.arange(n)
+    while (root[a] != root[b]).any():
+        low = np.minimum(root[a], root[b])
+        for side in (a, b):
+            np.minimum.at(root, root[side], low)
+        while (root[root] != root).any():
+            root = root[root]
     cls = np.array(cls, dtype=np.int64)
-    return cls[a[ok]], cls[b[ok]]
+    other = np.flatnonzero(root != np.arange(n))
+    return cls[root[other]], cls[other]
+
+
+def keys_of(x: np.ndarray, turn: int) -> list[bytes]:
+    """Signs of the products of rows with a pass's directions."""
+    ways = np.random.Generator(np.random.PCG64([turn, x.shape[1]])).standard_normal((BITS, x.shape[1]))
+    return [k.tobytes() for k in np.packbits(x @ ways.T > 0, axis=1)]
+
+
+def means_of(uniq: DataFrame) -> dict[tuple[str, int], np.ndarray]:
+    """The mean vector of each label and length of (label, vec)."""
 
+    def run(batches):
+        sums: dict = {}
+        for batch in batches:
+            for label, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.frombuffer(v.as_buffer())
+                n, total = sums.get((label, len(x)), (0, 0.0))
+                sums[label, len(x)] = n + 1, total + x
+        rows = [(label, size, n, total.tobytes()) for (label, size), (n, total) in sums.items()]
+        yield pa.RecordBatch.from_pylist([dict(zip(("label", "size", "n", "total"), r, strict=True)) for r in rows], pa.schema([("label", pa.string()), ("size", pa.int32()), ("n", pa.int64()), ("total", pa.binary())]))
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(t) for t in table.column("total").to_pylist()], axis=0) / sum(table.column("n").to_pylist())
+        return table.slice(0, 1).select(["label", "size"]).append_column("mean", pa.array([total.tobytes()], pa.binary()))
 
-def passed(uniq: DataFrame, turn: int, count: int) -> DataFrame:
+    parts = uniq.select("label", "vec").mapInArrow(run, "label string, size int, n long, total binary")
+    return {(r["label"], r["size"]): np.frombuffer(r["mean"]) for r in parts.groupBy("label", "size").applyInArrow(add, "label string, size int, mean binary").collect()}
+
+
+def passed(uniq: DataFrame, turn: int, count: int, means: dict) -> DataFrame:
     """(a, b) links found by one pass over (label, cls, vec)."""
+    means = uniq.sparkSession.sparkContext.broadcast(means)
 
     def key(batches):
-        rng = {}
         for batch in batches:
-            keys = []
-            for v in batch.column(2):
-                x = np.frombuffer(v.as_buffer())
-                if len(x) not in rng:
-                    rng[len(x)] = np.random.Generator(np.random.PCG64([turn, len(x)])).standard_normal((BITS, len(x)))
-                keys.append(np.packbits(rng[len(x)] @ x > 0).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], ["label", "cls", "vec", "key"])
+            if not len(batch):
+                continue
+            x, width = _matrix([v.as_buffer().to_pybytes() for v in batch.column(2)])
+            keys = np.empty(len(x), object)
+            own = np.array([means.value.get((label, w // 8)) is not None for label, w in zip(batch.column(0).to_pylist(), width, strict=True)])
+            x = x.copy()
+            for i, label in enumerate(batch.column(0).to_pylist()):
+                if own[i]:
+                    x[i, : width[i] // 8] -= means.value[label, width[i] // 8]
+            for w in np.unique(width):
+                rows = np.flatnonzero(width == w)
+                keys[rows] = keys_of(x[rows, : w // 8], turn)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys.tolist(), pa.binary())], ["label", "cls", "vec", "key"])
 
     def compare(batches):
-        part, label, cls, vecs, key = TaskContext.get().partitionId(), [], [], [], 0
+        part, label, cls, vecs, done = TaskContext.get().partitionId(), [], [], [], 0
         head: list = []
         for batch in batches:
             label += batch.column(0).to_pylist()
             cls += batch.column(1).to_pylist()
             vecs += batch.column(2).to_pylist()
             if len(head) < WINDOW:
-                head = list(zip(label, cls, vecs, strict=True))[:WINDOW]
+                head += list(zip(label[done:], cls[done:], vecs[done:], strict=True))[: WINDOW - len(head)]
             if len(cls) > 4 * WINDOW:
-                a, b = _window_links(label, cls, vecs)
-                yield _edge_batch(a, b)
-                label, cls, vecs = label[-WINDOW:], cls[-WINDOW:], vecs[-WINDOW:]
-                key = 1
+                yield _edge_batch(*_window_links(label, cls, vecs, since=done))
+                label, cls, vecs, done = label[-WINDOW:], cls[-WINDOW:], vecs[-WINDOW:], WINDOW
         if cls:
-            a, b = _window_links(label, cls, vecs)
-            yield _edge_batch(a, b)
+            yield _edge_batch(*_window_links(label, cls, vecs, since=done))
             tail = list(zip(label, cls, vecs, strict=True))[-WINDOW:]
             yield _ends(part, [*enumerate(head)], 1)
             yield _ends(part + 1, [*enumerate(tail)], 0)
@@ -122,7 +175,7 @@ def passed(uniq: DataFrame, turn: int, count: int) -> DataFrame:
     def seam(table: pa.Table) -> pa.Table:
         rows = sorted(zip(*(table.column(c).to_pylist() for c in ("b", "place", "a", "label", "vec")), strict=True), key=lambda r: r[:2])
         tail = sum(r[0] == 0 for r in rows)
-        a, b = _window_links([r[3] for r in rows], [r[2] for r in rows], [r[4] for r in rows], tail) if rows else ([], [])
+        a, b = _window_links([r[3] for r in rows], [r[2] for r in rows], [r[4] for r in rows], tail, tail)
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     seams = out.where("seam is not null").groupBy("seam").applyInArrow(seam, "a long, b long")
@@ -149,9 +202,12 @@ def _counted(table: pa.Table) -> pa.Table:
     side, n, cls = np.array(side), np.array(n), np.array(cls, dtype=np.int64)
     own, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     out = np.zeros(len(own), np.int64)
-    for k, i in enumerate(own):
-        ok = _close(vecs, np.full(len(other), i), other) & (cls[other] != cls[i])
-        out[k] = n[other][ok].sum()
+    if len(own) and len(other):
+        x, width = _matrix(vecs)
+        for k in range(0, len(own), SIDE):
+            i = own[k : k + SIDE]
+            ok = (x[i] @ x[other].T >= COSINE) & (cls[i][:, None] != cls[other]) & (width[i][:, None] == width[other])
+            out[k : k + SIDE] = ok @ n[other]
     return pa.table([pa.array(cls[own]), pa.array(out)], names=["cls", "links"])
 
 
@@ -170,11 +226,17 @@ def near_vectors(rows: DataFrame) -> DataFrame:
     """One row per row: vec_id, n_links, component_id, kept."""
     every = classes(rows)
     uniq = durable(every.where("cls is not null").groupBy("cls").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("low")))
-    count = uniq.count()
-    slim = uniq.select("label", "cls", "vec")
-    links = passed(slim, 0, count)
-    for turn in range(1, PASSES):
-        links = links.union(passed(slim, turn, count))
+    many = {r["label"]: r["count"] for r in uniq.groupBy("label").count().where(F.col("count") > WINDOW + 1).collect()}
+    slim, means = uniq.select("label", "cls", "vec"), {}
+    links = passed(slim.where(~F.col("label").isin(list(many))) if len(many) <= 1000 else slim, 0, uniq.count() - sum(many.values()), {})
+    if many:
+        turns = F.broadcast(rows.sparkSession.createDataFrame([(x, turns_of(n)) for x, n in many.items()], "label string, turns int"))
+        slim = durable(slim.join(turns, "label"))
+        means = means_of(slim)
+    for turn in range(1, 1 + max(map(turns_of, many.values()), default=0)):
+        now = {x: n for x, n in many.items() if turns_of(n) >= turn}
+        links = links.union(passed(slim.where(F.col("turns") >= turn).select("label", "cls", "vec"), turn, sum(now.values()), means))
+    links = durable(links)
     reached = durable(components(links))
     counts = durable(link_counts(uniq, reached))
     of = durable(uniq.join(reached, uniq.cls == reached.node, "left").select("cls", "n", "low", F.coalesce("component", "cls").alias("component")))
