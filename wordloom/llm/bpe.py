@@ -1,11 +1,12 @@
 """Byte-level BPE encoding and decoding by merge replay over a corpus of distinct pieces.
 
 A block of texts is cut into pieces by the pre-tokenisation pattern; its distinct pieces, those not
-met before, form one corpus of symbols. An inverted index from the rank of a pair to the positions
-where that pair stands is replayed from the lowest rank up: a merge touches the merged symbol's two
-neighbours only, whose new pairs join the index. Since the lowest rank of the whole corpus is also the
-lowest of every piece that has it, each piece gets the merges it would get alone, in the same order.
-Texts are then the concatenation of their pieces' ids, so nothing shuffles.
+met before, form one corpus of symbols. The pairs of the corpus are indexed by rank and position, and
+merges are replayed in rank order: a sweep applies the lowest rank of every piece at all positions that
+the index has for it, and a merge touches the merged symbol's two neighbours only, whose new pairs
+replace theirs in the index. Pieces share no symbols, so each gets the merges of the whole corpus' rank
+order that fall into it, in that order. Texts are then the concatenation of their pieces' ids, so
+nothing shuffles.
 
 Defined results. Null text counts as empty and has no tokens. Special tokens are ordinary text. Texts
 of any length are encoded whole. Ids are little-endian unsigned 32-bit integers.
@@ -15,7 +16,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +25,11 @@ from pyspark.sql import DataFrame
 from .common import small_batches
 
 #: Pieces kept from block to block by a Python worker; beyond it they are encoded anew.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 600_000
 #: Symbols whose merges are replayed together.
 CORPUS_BYTES = 1 << 22
+#: Stands for the rank of a pair that makes no token.
+NO_PAIR = np.iinfo(np.int32).max
 
 
 def read_ranks(path: str) -> bytes:
@@ -40,91 +42,73 @@ class Vocabulary:
 
     def __init__(self, ranks: bytes, pattern: str):
         self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-        self.token = [b""] * (max(self.rank.values()) + 1)
-        for token, rank in self.rank.items():
-            self.token[rank] = token
-        self.byte = [self.rank[bytes([i])] for i in range(256)]
+        token = [b""] * (max(self.rank.values()) + 1)
+        for x, rank in self.rank.items():
+            token[rank] = x
+        self.token_bytes = np.frombuffer(b"".join(token), np.uint8)
+        self.token_size = np.array([len(x) for x in token])
+        self.token_at = np.concatenate([[0], np.cumsum(self.token_size)])
+        self.byte = np.array([self.rank[bytes([i])] for i in range(256)])
         self.cut = regex.compile(pattern).findall
-        self.pairs: dict[int, int] = {}
         self.kept: dict[str, bytes] = {}
-
-    def merged(self, left: int, right: int) -> int:
-        """The id of the two tokens as one, or -1."""
-        key = left << 32 | right
-        found = self.pairs.get(key)
-        if found is None:
-            found = self.pairs[key] = self.rank.get(self.token[left] + self.token[right], -1)
-        return found
-
-    def replay(self, pieces: list[bytes]) -> list[list[int]]:
-        """The token ids of each piece."""
-        symbol: list[int] = []
-        after: list[int] = []
-        firsts: list[int] = []
-        whole: dict[int, int] = {}
-        byte = self.byte
-        for i, piece in enumerate(pieces):
-            known = self.rank.get(piece)
-            if known is not None:
-                whole[i] = known
-                firsts.append(-1)
-                continue
-            first = len(symbol)
-            firsts.append(first)
-            symbol += [byte[b] for b in piece]
-            after += range(first + 1, len(symbol) + 1)
-            if piece:
-                after[-1] = -1
-        before = [-1] * len(symbol)
-        index: dict[int, list[int]] = {}
-        merged = self.merged
-        for p, q in enumerate(after):
-            if q >= 0:
-                before[q] = p
-                r = merged(symbol[p], symbol[q])
-                if r >= 0:
-                    index.setdefault(r, []).append(p)
-        heap = sorted(index)
-        while heap:
-            rank = heappop(heap)
-            positions = index.pop(rank, None)
-            if positions is None:
-                continue
-            positions.sort()
-            for p in positions:
-                q = after[p]
-                if q < 0 or symbol[p] < 0 or merged(symbol[p], symbol[q]) != rank:
-                    continue
-                symbol[p], symbol[q] = rank, -1
-                n = after[p] = after[q]
-                after[q] = -1
-                if n >= 0:
-                    before[n] = p
-                    r = merged(rank, symbol[n])
-                    if r >= 0:
-                        if r not in index:
-                            index[r] = []
-                            heappush(heap, r)
-                        index[r].append(p)
-                b = before[p]
-                if b >= 0:
-                    r = merged(symbol[b], rank)
-                    if r >= 0:
-                        if r not in index:
-                            index[r] = []
-                            heappush(heap, r)
-                        index[r].append(b)
-        out = []
-        for i, p in enumerate(firsts):
-            if i in whole:
-                out.append([whole[i]])
-                continue
-            ids = []
-            while p >= 0 and pieces[i]:
-                ids.append(symbol[p])
-                p = after[p]
-            out.append(ids)
-        return out
+        # Every way to make a token of two tokens: the pair's key and the rank of what it makes.
+        get = self.rank.get
+        ways = {get(x[:k]) << 32 | get(x[k:]): r for x, r in self.rank.items() for k in range(1, len(x)) if x[:k] in self.rank and x[k:] in self.rank}
+        self.pair = np.array(sorted(ways), np.int64)
+        self.made = np.array([ways[k] for k in self.pair.tolist()], np.int64)
+        self.of_bytes = self.merged(np.repeat(self.byte, 256), np.tile(self.byte, 256)).astype(np.int32)
+
+    def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of tokens as one token, or NO_PAIR."""
+        key = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.pair, key), max(0, len(self.pair) - 1))
+        return np.where(self.pair[at] == key, self.made[at], NO_PAIR) if len(self.pair) else np.full(len(key), NO_PAIR)
+
+    def replay(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The token ids of all pieces, one after the other, and n+1 offsets of the pieces in them.
+
+        `rank` indexes each position by the rank of the pair that starts there. Every sweep applies, in
+        each piece that has one, its lowest rank at all its positions, and looks up the pairs of the
+        merged symbols with their neighbours; all other entries stay as they are.
+        """
+        whole = np.array([self.rank.get(x, -1) for x in pieces], np.int64)
+        size = np.array([len(x) for x in pieces], np.int64)
+        open_ = np.flatnonzero((whole < 0) & (size > 0))
+        raw = np.frombuffer(b"".join([pieces[i] for i in open_.tolist()]), np.uint8)
+        piece = np.repeat(open_, size[open_])
+        symbol = self.byte[raw].astype(np.int32)
+        rank = np.full(len(raw), NO_PAIR, np.int32)
+        if len(raw) > 1:
+            rank[:-1] = np.where(piece[1:] == piece[:-1], self.of_bytes[raw[:-1].astype(np.int32) << 8 | raw[1:]], NO_PAIR)
+        done = [(np.flatnonzero(whole >= 0), whole[whole >= 0].astype(np.int32))]
+        while len(symbol):
+            first = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))
+            count = np.diff(np.append(first, len(symbol)))
+            low = np.minimum.reduceat(rank, first)
+            ended = np.repeat(low == NO_PAIR, count)
+            if ended.any():
+                done.append((piece[ended], symbol[ended]))
+                left = ~ended
+                piece, symbol, rank, count, low = piece[left], symbol[left], rank[left], count[low < NO_PAIR], low[low < NO_PAIR]
+                if not len(symbol):
+                    break
+            at = np.flatnonzero(rank == np.repeat(low, count))
+            # Of positions that overlap, the leftmost is merged, then every other one.
+            run = np.concatenate([[True], np.diff(at) > 1])
+            start = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - start) % 2 == 0]
+            symbol[at] = rank[at]
+            keep = np.ones(len(symbol), bool)
+            keep[at + 1] = False
+            piece, symbol, rank = piece[keep], symbol[keep], rank[keep]
+            at -= np.arange(len(at))
+            rank[at] = NO_PAIR
+            for p in (at[at + 1 < len(symbol)], at[at > 0] - 1):
+                p = p[piece[p] == piece[p + 1]]
+                rank[p] = self.merged(symbol[p], symbol[p + 1])
+        of, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(of, kind="stable")
+        return ids[order], np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(pieces)))])
 
     def learn(self, pieces: set[str]) -> None:
         """Encodes the pieces that aren't kept yet, some megabytes at a time."""
@@ -143,8 +127,9 @@ class Vocabulary:
         self._learn(some)
 
     def _learn(self, some: list[str]) -> None:
-        for piece, ids in zip(some, self.replay([x.encode() for x in some]), strict=True):
-            self.kept[piece] = np.array(ids, dtype="<u4").tobytes()
+        ids, offs = self.replay([x.encode() for x in some])
+        data, edge = ids.astype("<u4").tobytes(), (4 * offs).tolist()
+        self.kept.update(zip(some, [data[i:j] for i, j in zip(edge[:-1], edge[1:], strict=True)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
@@ -154,7 +139,14 @@ class Vocabulary:
         return [b"".join(map(kept, x)) for x in cut]
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        """The bytes of the tokens, gathered from the tokens' bytes a million ids at a time."""
+        ids, out = np.frombuffer(ids, dtype="<u4"), []
+        for i in range(0, len(ids), 1 << 20):
+            own = ids[i : i + (1 << 20)]
+            size = self.token_size[own]
+            shift = self.token_at[own] - np.cumsum(size) + size
+            out.append(self.token_bytes[np.arange(int(size.sum())) + np.repeat(shift, size)].tobytes())
+        return b"".join(out)
 
 
 _LOADED: dict[tuple, Vocabulary] = {}
