@@ -15,7 +15,7 @@ hashed, and windows, not anchors, are dealt out, once for each block.
 
 Defined results. Null text is empty. Texts shorter than LENGTH have no repeat but count. Overlapping
 repeats are one removed run. Rows that repeat a doc_id and its text are copies of one another. Windows
-of hot anchors are compared by 64-bit hashes, all other repeats byte by byte.
+of hot anchors are compared by 128 bits of two hashes, all other repeats byte by byte.
 """
 
 from __future__ import annotations
@@ -36,23 +36,25 @@ LENGTH, GRAM = 200, 50
 HOT = 2000
 LEFT = LENGTH - GRAM
 BLOCK_BYTES, CHUNK, MOST_SPANS = 8 << 20, 1 << 17, 200_000
+_SPREAD = 0xD1B54A32D192ED03
 NONE = 255  # no byte of UTF-8; stands beyond the ends of a text and matches nothing
 
 
-def rolled(buf: np.ndarray, width: int) -> np.ndarray:
-    """A hash of every run of `width` bytes."""
+def rolled(buf: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
+    """A hash of every run of `width` bytes; another one for each salt."""
     n = len(buf) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.empty(n, np.uint64)
+    byte = _BYTE if not salt else mixed(_BYTE + np.uint64(salt)) | np.uint64(1)
     for a in range(0, n, CHUNK):
         part = buf[a : min(n, a + CHUNK) + width - 1]
         up, down = _powers(len(part) + 1)
         total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_BYTE[part] * up[: len(part)], out=total[1:])
+        np.cumsum(byte[part] * up[: len(part)], out=total[1:])
         k = len(part) - width + 1
-        out[a : a + k] = (total[width:] - total[:k]) * down[:k]
-    return mixed(out)
+        out[a : a + k] = mixed((total[width:] - total[:k]) * down[:k])
+    return out
 
 
 def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -65,23 +67,32 @@ def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
 
 
 def anchors(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, position in buf and hash of the anchors of texts that are LENGTH bytes long or more."""
+    """Text, position in buf and hash of the anchors of texts that are LENGTH bytes long or more.
+
+    Hashes are made for some hundred kilobytes at a time: what is held is buf and its anchors.
+    """
     wide = LENGTH - GRAM + 1
-    h = rolled(buf, GRAM)
-    where = []
+    grams = len(buf) - GRAM + 1
+    where, found = [], []
     step = CHUNK - 2 * wide
-    for a in range(0, max(0, len(h) - wide + 1), step):
-        own = (h[max(0, a - wide + 1) : a + step + wide - 1] >> np.uint64(32)).astype(np.uint32)
+    for a in range(0, max(0, grams - wide + 1), step):
+        since = max(0, a - wide + 1)
+        h = rolled(buf[since : min(grams, a + step + wide - 1) + GRAM - 1], GRAM)
+        own = (h >> np.uint64(32)).astype(np.uint32)
         if len(own) < wide:
             break
         low = _sliding(own, wide, np.minimum)
         edge = np.zeros(wide - 1, np.uint32)
         high = _sliding(np.concatenate([edge, low, edge]), wide, np.maximum)
-        where.append(np.flatnonzero(high == own) + max(0, a - wide + 1))
-    at = np.unique(np.concatenate(where)) if where else np.zeros(0, int)
+        at = np.flatnonzero(high == own)
+        where.append(at + since)
+        found.append(h[at])
+    at, first = np.unique(np.concatenate(where), return_index=True) if where else (np.zeros(0, int), np.zeros(0, int))
+    h = np.concatenate(found)[first] if found else np.zeros(0, np.uint64)
     text = np.searchsorted(offs, at, side="right") - 1
     ok = (at + GRAM <= offs[text + 1]) & (offs[text + 1] - offs[text] >= LENGTH)
-    return text[ok], at[ok], h[at[ok]]
+    # Least hashes are small numbers: mixed once more they spread over all buckets and cells.
+    return text[ok], at[ok], mixed(h[ok] + np.uint64(_SPREAD))
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -110,9 +121,10 @@ def _rows(cols, names, kinds):
 
 
 def _split(keys, buckets):
-    """Order of keys by bucket and the edges of the buckets."""
+    """Order of keys by bucket, the buckets that have keys, and the edges of these buckets in that order."""
     order = np.argsort(keys, kind="stable")
-    return order, np.searchsorted(_bucket(keys[order], buckets), np.arange(buckets + 1))
+    some, first = np.unique(_bucket(keys[order], buckets), return_index=True)
+    return order, some.tolist(), np.append(first, len(keys))
 
 
 def counted(buckets: int):
@@ -121,10 +133,11 @@ def counted(buckets: int):
     def run(batches):
         for _, buf, offs in _texts(batches):
             key, count = np.unique(anchors(buf, offs)[2], return_counts=True)
-            order, edge = _split(key, buckets)
-            some = [b for b in range(buckets) if edge[b] < edge[b + 1]]
+            _, some, edge = _split(key, buckets)  # already in order
+            count = np.minimum(count, 2**16 - 1).astype(np.uint16)
             if some:
-                yield _rows([some, [key[edge[b] : edge[b + 1]].tobytes() for b in some], [np.minimum(count, 2**16 - 1)[edge[b] : edge[b + 1]].astype(np.uint16).tobytes() for b in some]], ["bucket", "keys", "counts"], [pa.int32(), pa.binary(), pa.binary()])
+                of = list(zip(edge[:-1], edge[1:], strict=True))
+                yield _rows([some, [key[i:j].tobytes() for i, j in of], [count[i:j].tobytes() for i, j in of]], ["bucket", "keys", "counts"], [pa.int32(), pa.binary(), pa.binary()])
 
     return run
 
@@ -259,23 +272,16 @@ def sent(some, hot, bits, buckets):
                     settled.append((rows[t[both]][long], (p[both] - offs[t[both]] - room_l)[long], (p[both] - offs[t[both]] + room_r)[long]))
                 keep = np.sort(order[~same])
                 yield from _sent_rows(0, buckets, k[keep], rows[t[keep]], (p - offs[t])[keep], whole[keep])
-            t, p = text[is_hot], at[is_hot]
-            if len(t):
-                cover = np.zeros(len(buf) + 1, np.int64)
-                np.add.at(cover, np.maximum(p - LEFT, offs[t]), 1)
-                np.add.at(cover, p + 1, -1)
-                start = np.flatnonzero(np.cumsum(cover)[:-1] > 0)
-                own = np.searchsorted(offs, start, side="right") - 1
-                fits = start + LENGTH <= offs[own + 1]
-                start, own = start[fits], own[fits]
-                window = rolled(buf, LENGTH)[start]
-                order = np.argsort(window, kind="stable")
-                first = np.concatenate([[True], window[order][1:] != window[order][:-1]])
+            if is_hot.any():
+                start, own, window, check = _windows(buf, offs, text[is_hot], at[is_hot])
+                order = np.lexsort((check, window))
+                new = (window[order][1:] != window[order][:-1]) | (check[order][1:] != check[order][:-1])
+                first = np.concatenate([[True], new])
                 size = np.diff(np.append(np.flatnonzero(first), len(order)))
                 twice = order[np.repeat(size > 1, size)]
                 settled.append((rows[own[twice]], start[twice] - offs[own[twice]], start[twice] - offs[own[twice]] + LENGTH))
                 one = order[first]
-                yield from _sent_rows(1, buckets, window[one], rows[own[one]], start[one] - offs[own[one]], None)
+                yield from _sent_rows(1, buckets, window[one], rows[own[one]], start[one] - offs[own[one]], check[one])
             if settled:
                 row, a, b = merged(*map(np.concatenate, zip(*settled, strict=True)))
                 if len(row):
@@ -284,15 +290,37 @@ def sent(some, hot, bits, buckets):
     return run
 
 
+def _windows(buf, offs, text, at):
+    """Start, text and two hashes of each LENGTH-byte window that reaches an anchor, made piece by piece."""
+    found = []
+    for i, j in pieces(offs, 1 << 20):
+        own = (text >= i) & (text < j)
+        if not own.any():
+            continue
+        since, until = int(offs[i]), int(offs[j])
+        p, begin = at[own] - since, offs[text[own]] - since
+        cover = np.zeros(until - since + 1, np.int32)
+        np.add.at(cover, np.maximum(p - LEFT, begin), 1)
+        np.add.at(cover, p + 1, -1)
+        start = np.flatnonzero(np.cumsum(cover)[:-1] > 0)
+        of = np.searchsorted(offs, start + since, side="right") - 1
+        fits = start + since + LENGTH <= offs[of + 1]
+        start, of = start[fits], of[fits]
+        some = buf[since:until]
+        found.append((start + since, of, rolled(some, LENGTH)[start], rolled(some, LENGTH, 1)[start]))
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
 def _sent_rows(kind, buckets, key, row, at, around):
-    order, edge = _split(key, buckets)
-    cols = [[] for _ in range(6)]
-    for b in range(buckets):
-        o = order[edge[b] : edge[b + 1]]
-        if len(o):
-            for c, x in zip(cols, (b, kind, key[o].tobytes(), row[o].astype(np.int64).tobytes(), at[o].astype(np.int64).tobytes(), zstandard.ZstdCompressor(level=3).compress(around[o].tobytes()) if around is not None else b""), strict=True):
-                c.append(x)
-    if cols[0]:
+    """Rows of the buckets that have keys: no more rows than keys, however many buckets there are."""
+    order, some, edge = _split(key, buckets)
+    packer = zstandard.ZstdCompressor(level=3)
+    for c in range(0, len(some), 64):
+        cols = [[] for _ in range(6)]
+        for b, i, j in zip(some[c : c + 64], edge[c : c + 64], edge[c + 1 :], strict=False):
+            o = order[i:j]
+            for col, x in zip(cols, (b, kind, key[o].tobytes(), row[o].astype(np.int64).tobytes(), at[o].astype(np.int64).tobytes(), packer.compress(around[o].tobytes())), strict=True):
+                col.append(x)
         yield _rows(cols, *_SENT)
 
 
@@ -300,19 +328,30 @@ def _found(table: pa.Table) -> pa.Table:
     """Spans of the repeats of a bucket."""
     if table.num_rows == 0:
         return pa.table([pa.array([], pa.int64())] * 3, names=["row", "start", "stop"])
-    kind = np.array(table.column("kind").to_pylist())
-    get = lambda c, t, k: np.concatenate([np.zeros(0, t), *[np.frombuffer(x, t) for x, q in zip(table.column(c).to_pylist(), kind, strict=True) if q == k]])
+    kind = table.column("kind").to_numpy()
+
+    def get(c, t, k):
+        own = table.column(c).filter(pa.array(kind == k))
+        return np.concatenate([np.zeros(0, t), *[np.frombuffer(x.as_buffer(), t) for x in own]])
+
+    def opened(t, k):
+        own = table.column("around").filter(pa.array(kind == k))
+        return np.concatenate([np.zeros(0, t), *[np.frombuffer(zstandard.decompress(x.as_buffer()), t) for x in own]])
+
     out = [(get("rows", np.int64, 2), get("at", np.int64, 2), get("keys", np.int64, 2))]
     window, row, at = get("keys", np.uint64, 1), get("rows", np.int64, 1), get("at", np.int64, 1)
     if len(window):
-        order = np.argsort(window, kind="stable")
-        w = window[order]
-        same = np.concatenate([[False], w[1:] == w[:-1]])
+        check = opened(np.uint64, 1)
+        order = np.lexsort((check, window))
+        w, c = window[order], check[order]
+        same = np.concatenate([[False], (w[1:] == w[:-1]) & (c[1:] == c[:-1])])
         both = order[same | np.append(same[1:], False)]
         out.append((row[both], at[both], at[both] + LENGTH))
+        del window, check, w, c, order, same
+        out = [merged(*map(np.concatenate, zip(*out, strict=True)))]
     key, row, at = get("keys", np.uint64, 0), get("rows", np.int64, 0), get("at", np.int64, 0)
-    packed = [x for x, q in zip(table.column("around").to_pylist(), kind, strict=True) if q == 0]
-    around = np.concatenate([np.zeros(0, np.uint8), *[np.frombuffer(zstandard.decompress(x), np.uint8) for x in packed]]).reshape(-1, LEFT + LENGTH)
+    around = opened(np.uint8, 0).reshape(-1, LEFT + LENGTH)
+    del table
     if len(key):
         order = np.argsort(key, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
