@@ -1,57 +1,318 @@
+import json
 import math
 import os
+import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from wordloom import training
+from wordloom.config import Prediction, Training
+from wordloom.functions import strings as S
 from wordloom.functions import terms as T
+from wordloom.language import FRENCH, NONE
+from wordloom.operators import correction as C
+from wordloom.operators import dynamic as D
 from wordloom.operators import ngrams as N
+from wordloom.operators import semantic as M
+from wordloom.operators import vocabulary as V
+from wordloom.operators.prediction import predict
+from wordloom.operators.pruning import by_count, by_difference
 from wordloom.plans import registry
+from wordloom.sources import corpus, model
+from wordloom.streaming import dynamic
 
 SF = "/root/testdata/sf0.001"
 TERMS = [
-    ("50%", [("PERCENT", "50%")]), ("50,872 %", [("PERCENT", "50,872%")]), ("50.872 %", [("PERCENT", "50,872%")]), ("982.762", [("DECIMAL", "982,762")]), ("98", [("INTEGER", "98")]),
-    ("d’eau", [("WORD", "d'"), ("WORD", "eau")]), ("X.Y.Z.", [("ACRONYM", "XYZ")]), ("X.Y.Z..", [("ACRONYM", "XYZ"), ("SEPARATOR", ".")]), ("a-t-il", [("WORD", "a-t-il")]),
-    ("a-t-", [("WORD", "a"), ("SEPARATOR", "-"), ("WORD", "t"), ("SEPARATOR", "-")]), ("12a%", [("WORD", "12a"), ("SEPARATOR", "%")]), ("Aujourd'hui", [("WORD", "Aujourd'hui")]), ("", []), (None, []),
+    ("73%", [("PERCENT", "73%")]), ("8,25 %", [("PERCENT", "8,25%")]), ("8.25 %", [("PERCENT", "8,25%")]), ("104.33", [("DECIMAL", "104,33")]), ("61", [("INTEGER", "61")]),
+    ("l’arbre", [("WORD", "l'"), ("WORD", "arbre")]), ("A.B.C.", [("ACRONYM", "ABC")]), ("A.B.C..", [("ACRONYM", "ABC"), ("SEPARATOR", ".")]), ("va-t-on", [("WORD", "va-t-on")]),
+    ("u-v-", [("WORD", "u"), ("SEPARATOR", "-"), ("WORD", "v"), ("SEPARATOR", "-")]), ("7x%", [("WORD", "7x"), ("SEPARATOR", "%")]), ("Aujourd'hui", [("WORD", "Aujourd'hui")]), ("", []), (None, []),
+    ("a-b-t3", [("WORD", "a"), ("SEPARATOR", "-"), ("WORD", "b"), ("SEPARATOR", "-"), ("WORD", "t3")]), ("N.O.Pq", [("ACRONYM", "NO"), ("WORD", "Pq")]), ("mot ", [("WORD", "mot ")]), ("5.%", [("INTEGER", "5"), ("SEPARATOR", "."), ("SEPARATOR", "%")]),
+]
+DATES = [
+    ("3/4/19", [("DATE_FULL_DIGIT", "03/04/2019")]), ("03-04-0099", [("DATE_FULL_DIGIT", "03/04/1999")]), ("31.12.2004", [("DATE_FULL_DIGIT", "31/12/2004")]), ("39/19/142", [("DATE_FULL_DIGIT", "39/19/0142")]),
+    ("04 FEVRIER 21", [("DATE_FULL_TEXT", "4 février 1921")]), ("FÉVRIER 21", [("PROPER_NAME", "FÉVRIER"), ("INTEGER", "21")]), ("aout 2001", [("DATE_MONTH_YEAR", "août 2001")]),
+    ("7 mars", [("DATE_DAY_MONTH", "7 mars")]), ("Lundi", [("DATE_WEEK_DAY", "lundi")]), ("Anna Bel Cor Dom Eva", [("PROPER_NAME", "Anna Bel Cor Dom"), ("PROPER_NAME", "Eva")]), ("Anna b", [("PROPER_NAME", "Anna"), ("WORD", "b")]),
 ]
 
 
-def test_terms(spark):
-    from pyspark.sql import functions as F
-
-    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(TERMS)], "i int, text string")
-    rows = df.select("i", F.posexplode(T.terms(F.col("text"))).alias("p", "t"))
-    rows = rows.select("i", "p", T.kind(F.col("t")).alias("k"), T.value(F.col("t"), T.kind(F.col("t"))).alias("v")).orderBy("i", "p").collect()
-    for i, (text, want) in enumerate(TERMS):
+@pytest.mark.parametrize("cases,matchers", [(TERMS, FRENCH.ngram_matchers), (DATES, FRENCH.semantic_matchers)])
+def test_terms(spark, cases, matchers):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, text string")
+    rows = df.select("i", F.posexplode(T.classified(F.col("text"), matchers)).alias("p", "x"))
+    rows = rows.select("i", "p", F.col("x.k").alias("k"), T.value(F.col("x.t"), F.col("x.k")).alias("v")).where("v <> ' '").orderBy("i", "p").collect()
+    for i, (text, want) in enumerate(cases):
         assert [(r.k, r.v) for r in rows if r.i == i] == want, text
 
 
-def test_discounts_and_backoff(spark):
-    """Four sentences with a common head; the unknown word of the third position splits its sentence's n-grams."""
-    text = "on a bo ce de\non a bo ge\non a bo ce fu ha li\non a bo mi"
-    docs = spark.createDataFrame([(1, text), (2, "seul")], "doc_id long, text string")
-    grams = N.counts(docs)
-    totals = {r.n: (r.u, r.t) for r in grams.groupBy("n").agg({"cnt": "sum", "w1": "count"}).selectExpr("n", "`count(w1)` u", "`sum(cnt)` t").collect()}
-    assert totals[1] == (11, 24)  # ten words and START
-    assert all(0.1 <= r.d <= 0.9 for r in N.discounts(grams).collect())
-    freq = N.probabilities(grams).groupBy("n", "w1", "w2", "w3").count()
-    assert freq.count() > 0
-    ctx = {r.w1: r for r in N.contexts(N.counts(docs, 2), 2).where("n = 2").collect()}
-    assert (ctx["bo"].total, ctx["bo"].children) == (4, 3)
-    uni = {r.w1: r.freq for r in N.probabilities(N.counts(docs, 2), 2).where("n = 1").collect()}
-    assert math.isclose(sum(uni.values()), 1)
+def test_both_ways_to_classes_agree(spark):
+    """The shapes that the fast way goes by, and the matchers one after the other."""
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("text").union(spark.createDataFrame([(t,) for t, _ in TERMS], "text string"))
+    slow = tuple(m for m in FRENCH.ngram_matchers)[:-1] + (FRENCH.ngram_matchers[-1], FRENCH.ngram_matchers[-1])
+    rows = df.select(T.classified(F.col("text")).alias("a"), T.classified(F.col("text"), slow).alias("b"))
+    assert rows.where("a <> b").count() == 0
+
+
+def test_sentences_keep_control_characters(spark):
+    df = spark.createDataFrame([(1, "ab\x01cd ef\x02gh. \x03ij k"), (2, "Un deux! trois"), (3, "  ..\n"), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: r.said for r in T.sentences(df).collect()}
+    assert got == {1: [["ab\x01cd", "ef\x02gh"], ["\x03ij", "k"]], 2: [["Un", "deux"], ["trois"]], 3: [], 4: []}
+    assert [r.said for r in T.sentences(df.where("doc_id = 2"), ended=True).collect()] == [[["Un", "deux"]]]
+
+
+def test_strings(spark):
+    df = spark.createDataFrame([("ßa", "É", ""), ("élan", "éLAN", "l"), (None, None, "a")], "a string, b string, c string")
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    rows = df.select(S.capitalize(a), S.uncapitalize(b), S.is_capitalized(b), S.is_upper(b), S.has_upper(b), S.is_blank(a), S.same(a, b), S.same_ignoring_case(a, b), S.position(c, a, F.lit(1))).collect()
+    assert tuple(rows[0]) == ("ßa", "é", True, True, True, False, False, False, 1)
+    assert tuple(rows[1]) == ("Élan", "éLAN", False, False, True, False, False, True, 1)
+    assert tuple(rows[2])[5:8] == (True, True, True)
+
+
+def _train(spark, text, how=None, lexicon=(), **more):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    return training.train(docs, spark.createDataFrame(list(lexicon), "word string, freq double"), how or Training(valid_from=0), **more)
+
+
+FOUR = "ka bo ce de\nka bo ge\nka bo ce fu ha li\nka bo mi ! "
+
+
+def test_probabilities_of_four_sentences(spark):
+    """Shares and back-off of four sentences with a common head, worked out by hand; x is a word of one letter."""
+    m = _train(spark, "ka bo ce de\nka bo ge\nka bo ce fu ha li\nka bo mi x ju ku")
+    assert {r.n: round(r.d, 9) for r in m.discounts.collect()} == {1: 0.8, 2: round(7 / 9, 9), 3: 0.75, 4: 0.9}
+    assert {r.n: (r.unique_ngrams, r.total_ngrams) for r in N.totals(m.grams).collect()} == {1: (12, 22), 2: (10, 17), 3: (8, 12), 4: (7, 8)}
+    ids = {r.word: r.word_id for r in m.words.collect()}
+    start = 15
+    rows = [(c, w) for c in ([start, ids["ka"], ids["bo"]], [NONE, ids["ka"], ids["bo"]], [NONE, NONE, ids["bo"]], [99, 98, ids["bo"]]) for w in [*ids.values(), start]]
+    asked = spark.createDataFrame([(*c, w) for c, w in rows], "c1 int, c2 int, c3 int, word_id int")
+    p = {(r.c1, r.c2, r.word_id): r.p for r in N.levels(asked, m.grams, m.contexts).collect()}
+    want = {(NONE, ids["ka"]): (0.514204545, 0.108664773), (NONE, NONE): (0.358585859, 0.082070707), (start, ids["ka"]): (0.622088068, 0.098348722), (99, 98): (0.358585859, 0.082070707)}
+    for c, (ce, ge) in want.items():
+        assert math.isclose(p[(*c, ids["ce"])], ce, abs_tol=1e-8) and math.isclose(p[(*c, ids["ge"])], ge, abs_tol=1e-8)
+        assert math.isclose(sum(v for k, v in p.items() if k[:2] == c), 1, abs_tol=1e-10)
+    raw = N.raw_probability(asked, m.grams).collect()
+    assert {r.c1 for r in raw} == {start} and math.isclose(sum(r.prob for r in raw), 1 - 3 * 0.9 / 4)
+    one = N.backed_off(m.grams, m.contexts).collect()
+    two = {(r.n, r.w1, r.w2, r.w3, r.w4): r.p for r in N.backed_off(m.grams, m.contexts, whole=False).collect()}
+    assert all(math.isclose(r.p, two[r.n, r.w1, r.w2, r.w3, r.w4]) for r in one)
+
+
+def test_pruning(spark):
+    m = _train(spark, FOUR * 2 + "ka bo ce de fu\nli ka bo")
+    grams = m.grams.drop("prob")
+    for raw in (False, True):
+        left = by_difference(grams, 0.05, raw)
+        assert left.count() < grams.count() and left.where("n = 1").count() == grams.where("n = 1").count()
+        of = N.contexts(left, N.discounts(left))
+        sums = N.probabilities(left, of).groupBy("n", F.when(F.col("n") > 1, F.col("w1")).alias("a"), F.when(F.col("n") > 2, F.col("w2")).alias("b"), F.when(F.col("n") > 3, F.col("w3")).alias("c")).agg(F.sum("prob").alias("s"))
+        bows = {(r.n, r.c1, r.c2, r.c3): r.bow for r in of.collect()}
+        for r in sums.collect():
+            key = (r.n, *(NONE if x is None else x for x in (r.a, r.b, r.c)))
+            assert math.isclose(r.s + (bows[key] if r.n > 1 else 0), 1, abs_tol=1e-10)
+    assert by_difference(grams, 0.0).count() == grams.count()
+    kept = by_count(grams, {2: 3, 3: 3, 4: 3}).collect()
+    heads = {(r.w1, r.w2, r.w3) for r in kept if r.n == 4}
+    assert all(r.cnt >= 3 or (r.n == 3 and (r.w1, r.w2, r.w3) in heads) or r.n < 3 for r in kept)
+
+
+def test_training_settings_stages_and_files(spark, tmp_path):
+    seen = []
+    how = Training(valid_from=0, pruning="order_count", least=[-1, 2, 2, 2])
+    at = str(tmp_path / "a")
+    m = _train(spark, FOUR, how, at=at, watch=lambda name, df: seen.append(name))
+    assert seen == ["terms", "counts", "words-clean", "words", "words-ids", "sentences", "grams", "unpruned", "model-contexts"]
+    assert m.grams.where("n > 1 and cnt < 2").count() == 0 and m.discounts.where("n = 1").first().d > 0
+    first = sorted(map(tuple, m.grams.collect()))
+    m = _train(spark, "other words here", how, at=at, since="grams")
+    assert sorted(map(tuple, m.grams.collect())) == first
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        _train(spark, FOUR, how, at=at, overwrite=False)
+    fixed = _train(spark, FOUR, Training(valid_from=0, discount=0.5))
+    assert {r.d for r in fixed.discounts.collect()} == {0.5}
+    assert Training.from_json(how.to_json()) == how and Training.from_json(json.dumps({"order": 3, "unheard": 1})).order == 3
+    assert Prediction.from_json(Prediction(wanted=7, custom={"a": "b"}).to_json()).custom == {"a": "b"}
+    folder = tmp_path / "texts"
+    folder.mkdir()
+    (folder / "a.txt").write_bytes("﻿un\r\ndeux".encode())
+    (folder / "a.txt.info.json").write_text("{}")
+    rows = corpus.folder(spark, str(folder)).collect()
+    assert len(rows) == 1 and spark.createDataFrame(rows).select(T.canonical(F.col("text")).alias("t")).first().t == "un\ndeux"
+    (tmp_path / "lexicon.tsv").write_text("\n".join(["\t".join(["word", *"bcdefghi", "freq"]), *("\t".join([w, *"bcdefghi", f]) for w, f in [("ka", "0.5"), ("ka", "2.5"), ("bo", "1"), ("ka", "x")])]))
+    words = corpus.lexicon(spark, str(tmp_path / "lexicon.tsv"))
+    assert sorted(map(tuple, words.collect())) == [("bo", 1.0), ("ka", 2.5)] and corpus.lexicon_total(words).first().total == 3.5
+    (tmp_path / "stops.txt").write_text("Ka\nunheard\n\nbo\n")
+    assert sorted(r.word for r in corpus.stop_words(spark, str(tmp_path / "stops.txt"), m.words).collect()) == ["Ka", "bo"]
+    assert {r.word for r in corpus.stop_words(spark, None, m.words).collect()} == {"ce", "de"}
+
+
+def test_vocabulary_rules(spark):
+    """Case, lexicon, counts, one-letter words."""
+    counts = spark.createDataFrame([("Zo", 3), ("zo", 2), ("Pa", 9), ("pa", 1), ("rare", 1), ("often", 30), ("Mi", 1), ("GRAND", 2), ("a", 50), ("b", 50), ("None", 1)], "word string, cnt long")
+    lexicon = spark.createDataFrame([("mi", 0.5), ("grand", 1e-9), ("None", 0.0)], "word string, freq double")
+    kept = {r.word: r.kept for r in V.cleaned(counts, lexicon).collect()}
+    assert kept == {"Zo": None, "zo": None, "Pa": None, "pa": None, "rare": None, "often": "often", "Mi": "mi", "GRAND": "GRAND", "a": "a", "b": "b", "None": "None"}
+    kept = {r.word: r.kept for r in V.cleaned(counts, lexicon, valid_from=0).collect()}
+    assert kept["Zo"] == "zo" and kept["Pa"] == "Pa"
+    kept = {r.word: r.kept for r in V.cleaned(counts, lexicon, valid_from=0, unknown_to=2).collect()}
+    assert kept["Zo"] is None and kept["often"] == "often" and kept["rare"] is None
+    words = V.word_ids(V.kept_words(V.cleaned(counts, lexicon)))
+    assert [(r.word, r.word_id) for r in words.orderBy("word_id").collect()][:2] == [("a", 17), ("often", 18)] and words.where("word = 'b'").count() == 0
+    asked = spark.createDataFrame([("Often",), ("often",), ("OFTEN",), ("unheard",)], "word string")
+    assert {r.word: r.word_id for r in V.with_ids(asked, words).collect()} == {"Often": 18, "often": 18, "OFTEN": 18, "unheard": None}
+
+
+TALK = "le chat dort. le chat mange la souris. le chien mange la viande. la souris dort. l'ami mange. l'eau dort. Paris dort. le chat dort. d'ici le chien part. "
+
+
+@pytest.fixture(scope="module")
+def talk(spark):
+    return _train(spark, TALK + "le Chaton dort. je vois le Chaton. ", Training(valid_from=0, discount=0.5))
+
+
+def _ask(spark, m, before, how=None, after=None, exclude=None, **more):
+    df = spark.createDataFrame([(1, before, after, exclude)], "prompt_id long, before string, after string, exclude array<int>")
+    return predict(df, m, how or Prediction(dynamic=False), **more).orderBy("rank").collect()
+
+
+def test_predictions(spark, talk):
+    first = _ask(spark, talk, "le ")
+    assert first[0].display == "chat" and first[0].insert == "chat" and first[0].remove_before == 0 and len(first) == 5
+    assert abs(sum(r.score for r in _ask(spark, talk, "le ", Prediction(wanted=100))) - 1) < 1e-9
+    typed = _ask(spark, talk, "le ch", after="at noir")
+    assert {"chat", "chien"} <= {r.display for r in typed} and typed[0].display == "chat" and typed[0].insert == "at" and typed[0].remove_after == 2
+    assert "Chaton" in [r.display for r in typed]  # the prefix in other spellings, where few words have it as it is
+    capital = _ask(spark, talk, "Le chat dort. Ch")
+    assert capital[0].display == "Chat" and capital[0].insert == "at"
+    begin = _ask(spark, talk, "")
+    assert all(r.display[0].isupper() for r in begin) and begin[0].display in ("Le", "La")
+    assert _ask(spark, talk, "le zzz") == []  # a word that nothing begins with
+    assert _ask(spark, talk, "le c", Prediction(least_typed=2)) == [] and _ask(spark, talk, "le ", Prediction(least_typed=1)) == []
+    chat = next(r.word_id for r in first if r.display == "chat")
+    assert "chat" not in [r.display for r in _ask(spark, talk, "le ", exclude=[chat])]
+    pair = _ask(spark, talk, "l", Prediction(wanted=20))
+    assert {"l'ami", "l'eau", "l'", "le", "la"} <= {r.display.lower() for r in pair}
+    assert all(r.space != r.display.endswith("'") for r in pair)
+    one = next(r for r in pair if r.display.lower() == "l'ami")
+    assert one.word2_id is not None and one.score > 0
+    far = _ask(spark, talk, "x" * 200 + " le ")
+    assert far[0].display == "chat"
+    debug = _ask(spark, talk, "le ", Prediction(debug=True))
+    assert debug[0].level == 3 and debug[0].dynamic_p == 0
+
+
+def test_spellings_of_a_text_lose_one(spark):
+    m = _train(spark, "je vois Mot ici. je vois mot ici. je vois MOT ici. je vois Mot. tu vois MOT. je vois mot la. ", Training(valid_from=0, lowered_from=0.99))
+    assert sorted(r.display for r in _ask(spark, m, "je vois ") if r.display.lower() == "mot") in (["MOT", "Mot"], ["Mot", "mot"], ["MOT", "mot"])
+
+
+def test_user_words_and_dynamic_model(spark, talk, tmp_path):
+    said = spark.createDataFrame([(7, "le chat ronronne. le chat ronronne. le chat ronronne")], "user long, text string")
+    new = D.learned_words(dynamic.used(said), talk)
+    assert [(r.word, r.use_count, r.user_word) for r in new.collect()] == [("ronronne", 3, True)]
+    model.save_user(new, talk.dictionary_id, str(tmp_path / "user"))
+    mine = model.with_user(talk, spark.read.parquet(str(tmp_path / "user")))
+    assert mine.words.count() == talk.words.count() + 1 and talk.words.where("word = 'ronronne'").count() == 0
+    with pytest.raises(model.DictionaryMismatch):
+        model.with_user(talk, spark.read.parquet(str(tmp_path / "user")).withColumn("dictionary_id", F.lit("other")))
+    grams = D.as_ids(dynamic.counted(said), mine.words, 4)
+    model.save_dynamic(grams, str(tmp_path / "dynamic"))
+    dyn = D.interpolated(spark.read.parquet(str(tmp_path / "dynamic")).select(*grams.columns), talk)
+    assert math.isclose(dyn["weight"], max(9 / talk.grams.where("n = 1").count(), 0.05))
+    shown = [r.display for r in _ask(spark, mine, "le chat ", Prediction(least_uses=2), dynamic=dyn)]
+    assert shown[0] == "ronronne" and "ronronne" not in [r.display for r in _ask(spark, mine, "le chat ", Prediction(least_uses=10), dynamic=dyn)]
+    assert {r.word_id for r in D.used_words(grams).collect()} >= {15, mine.words.where("word = 'ronronne'").first().word_id}
+    off = V.tuned(talk.words).where("word = 'chat'").withColumn("force_invalid", F.lit(True)).withColumn("modified", F.lit(True))
+    assert "chat" not in [r.display for r in _ask(spark, model.with_user(talk, off), "le ")]
+    louder = V.tuned(talk.words).where("word = 'chien'").withColumn("prob_factor", F.lit(50.0)).withColumn("modified", F.lit(True))
+    assert _ask(spark, model.with_user(talk, louder), "le ")[0].display == "chien"
+    assert V.changed(V.overlaid(talk.words, louder)).count() == 1
+
+
+def test_dynamic_shares_by_hand(spark, talk):
+    """Two words: all beginnings of what is inserted are children, with a count of 0 unless inserted."""
+    said = spark.createDataFrame([(1, "chat dort")], "user long, text string")
+    grams = D.as_ids(dynamic.counted(said), talk.words, 4)
+    ids = {r.word: r.word_id for r in talk.words.collect()}
+    c, d, s = ids["chat"], ids["dort"], 15
+    got = {tuple(x for x in (r.w1, r.w2, r.w3, r.w4) if x != NONE): r.cnt for r in grams.collect()}
+    assert got == {(s,): 0, (c,): 1, (d,): 1, (s, c): 1, (c, d): 1, (s, s): 0, (s, s, c): 0, (s, c, d): 1, (s, s, c, d): 1}
+    prob = {tuple(x for x in (r.w1, r.w2, r.w3, r.w4) if x != NONE): r.prob for r in D.interpolated(grams, talk)["grams"].collect()}
+    assert prob[(c,)] == 0.5 and prob[(s, c)] == 0.5 and prob[(s, s, c)] == 0 and prob[(s, s, c, d)] == 0.5
+
+
+def test_corrections(spark):
+    m = _train(spark, "un élève mange. une élève appelle. il a mangé des pommes. l'école appelle. un homme mange des pommes. la femme appelle un homme. ", Training(valid_from=0))
+    tree = C.families()
+    assert C.Node.from_json(tree.to_json()).active() == tree.active()
+    tree.children[0].enabled = False
+    assert len(C.Node("x", False, tree.rules, tree.children).active()) == 0 and len(tree.active()) < len(C.families().active())
+
+    def fixed(text, names, **how):
+        rules = C.expanded(spark, [r for c in C.families().children if c.name in names for r in c.active()])
+        out = C.corrected(spark.createDataFrame([(text,)], "looked string"), rules, m, Prediction(**how))
+        words = {r.word_id: r.word for r in m.words.collect()}
+        return {(words[r.word_id] + r.separator + words.get(r.word2_id, "")): round(r.factor, 6) for r in out.collect()}
+
+    assert fixed("eleve", ["accents"]) == {"élève": 0.5}  # two rules: (0.5 + 0.5) / 2 / (0.5 + 0.5)
+    assert "appelle" in fixed("apelle", ["doubled"]) and "pommes" in fixed("pomes", ["doubled"])
+    assert fixed("eleve", ["accents"], most_cost=0.6) == {}
+    assert "homme appelle" not in fixed("hommeappelle", ["splits"]) and "des pommes" in fixed("despommes", ["splits"])
+    assert "homme" in fixed("honme", ["m before m, b, p", "doubled"])
+    rules = C.expanded(spark, [r for c in C.families().children if c.name == "accents" for r in c.active()])
+    shown = _ask(spark, m, "un eleve", Prediction(correction=True), rules=rules)
+    assert [(r.display, r.correction, r.remove_before) for r in shown] == [("élève", True, 5)]
+    twice = C.expanded(spark, [C.Rule(["a"], ["b"], both_ways=True), C.confusion("a", "b")])
+    assert sorted((r.error, r.replacement) for r in twice.collect()) == [("a", "b"), ("b", "a")]
+
+
+def test_meanings(spark):
+    text = "chat noir dort bien. chien noir dort mal. chat blanc mange bien, chien blanc mange mal."
+    m = _train(spark, text, Training(valid_from=0))
+    stops = m.words.where("word = 'bien'").select("word_id")
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    spots = M.meant(M.positions(docs), m.words, stops)
+    index = M.indexed(spots, 50, 50)
+    pairs = {(r.row, r.col): r.value for r in M.cooccurrences(spots, index, 4).collect()}
+    known, stop = {r.word: r.word_id for r in m.words.collect()}, {"bien"}
+    rows = {r.word_id: r.row for r in index.collect()}
+    flat = [part if part.isalpha() else None for part in re.findall(r"\w+|[^\w]", text)]
+    window, want = [], {}
+    for part in flat:  # the window takes a step for separators too
+        if part is not None:
+            window.append(part)
+            window = window[-5:]
+        if len(window) >= 3:
+            at = len(window) - 3
+            a = window[at]
+            if a in known and a not in stop:
+                for j, b in enumerate(window):
+                    if j != at and b in known and b not in stop:
+                        for x, y in ((a, b), (b, a)):
+                            key = (rows[known[x]], rows[known[y]])
+                            want[key] = want.get(key, 0) + 1
+    assert pairs == want
+    vecs = M.meanings(M.cooccurrences(spots, index, 4), index, 3)
+    assert all(abs(sum(x * x for x in r.vec) - 1) < 1e-6 for r in vecs.collect())
+    dense = M.densities(spark.createDataFrame([(1, [1.0, 0.0])], "id long, vec array<double>"), 5).collect()
+    assert dense[0].density == 0.0
 
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_as_sql(spark, name):
-    con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations", "events"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = registry.queries()[name](spark, SF)
     cols = sorted(df.columns)
     got = sorted((tuple(r) for r in df.select(*cols).collect()), key=repr)
-    want = sorted(con.sql(f"SELECT {', '.join(cols)} FROM ({registry.oracle_sql()[name]})").fetchall(), key=repr)
-    assert got == want and got
+    assert got
+    sql = registry.oracle_sql().get(name)
+    if sql is None:
+        return
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations", "events", "embeddings", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    names = ", ".join(f'"{c}"' for c in cols)
+    assert got == sorted(con.sql(f"SELECT {names} FROM ({sql})").fetchall(), key=repr)
 
 
 def test_imports_without_training_data_operators():

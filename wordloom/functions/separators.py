@@ -1,40 +1,40 @@
-"""Separator classes: a name, whether it ends a sentence, its own character and the aliases read as it."""
+"""Separator classes: whether one ends a sentence, its own character and the aliases that are read as it."""
 
 from __future__ import annotations
 
 # Fixed values.
 SEPARATORS = [
-    ("SPACE", False, " ", "\u00a0\u200a\u2009\u202f"),
-    ("EXCLAMATION", True, "!", ""),
-    ("QUESTION", True, "?", ""),
-    ("POINT", True, ".", "…_"),
-    ("NEWLINE", True, "\n", "\r"),
-    ("TAB", False, "\t", ""),
-    ("COMMA", False, ",", ""),
-    ("APOSTROPHE", False, "'", "’´‘ˈ′"),
-    ("LBRACKET", False, "(", ""),
-    ("RBRACKET", False, ")", ""),
-    ("SEMICOLON", False, ";", ""),
-    ("QUOTE", False, '"', "«»“”″"),
-    ("EQUAL", False, "=", ""),
-    ("OPEN_HOOK", False, "[", ""),
-    ("CLOSE_HOOK", False, "]", ""),
-    ("INF_SUP", False, "<", ">"),
-    ("SLASH", False, "/", "⁄"),
-    ("BACKSLASH", False, "\\", ""),
-    ("HASH", False, "#", ""),
-    ("TWOPOINT", False, ":", ""),
-    ("CURRENCY_EURO_SYMBOL", False, "€", ""),
-    ("PERCENT", False, "%", "‰"),
-    ("HYPHEN", False, "-", "\u00ad\u2212\u2014\u2010\u2013"),
-    ("PIPE", False, "|", ""),
-    ("OTHER", False, "+", "~°$*¡}¿&@•×{→"),
+    (False, " ", "\u00a0\u200a\u2009\u202f"),
+    (True, "!", ""),
+    (True, "?", ""),
+    (True, ".", "…_"),
+    (True, "\n", "\r"),
+    (False, "\t", ""),
+    (False, ",", ""),
+    (False, "'", "’´‘ˈ′"),
+    (False, "(", ""),
+    (False, ")", ""),
+    (False, ";", ""),
+    (False, '"', "«»“”″"),
+    (False, "=", ""),
+    (False, "[", ""),
+    (False, "]", ""),
+    (False, "<", ">"),
+    (False, "/", "⁄"),
+    (False, "\\", ""),
+    (False, "#", ""),
+    (False, ":", ""),
+    (False, "€", ""),
+    (False, "%", "‰"),
+    (False, "-", "\u00ad\u2212\u2014\u2010\u2013"),
+    (False, "|", ""),
+    (False, "+", "~°$*¡}¿&@•×{→"),
 ]
 
 ALIASES = "".join(alias for *_, alias in SEPARATORS)
-OFFICIALS = "".join(own * len(alias) for _, _, own, alias in SEPARATORS)
-ALL = "".join(own for _, _, own, _ in SEPARATORS)
-ENDS = "".join(own for _, ends, own, _ in SEPARATORS if ends)
+OFFICIALS = "".join(own * len(alias) for _, own, alias in SEPARATORS)
+ALL = "".join(own for _, own, _ in SEPARATORS)
+ENDS = "".join(own for ends, own, _ in SEPARATORS if ends)
 
 
 def char_class(chars: str) -> str:

@@ -1,82 +1,153 @@
-"""N-gram counts, discounts and back-off probabilities as tables."""
+"""N-gram counts, discounts and back-off probabilities as tables of word ids.
+
+An n-gram is a row (n, w1..w_order, cnt) with NONE in the columns after the n-th. A context is the row
+(n, c1..c_{order-1}) of the n - 1 words that come before the n-th.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.functions.terms import normal, sentences, terms
-
-START = "\x02START"
-LOWEST, HIGHEST = 0.1, 0.9
-
+from wordloom.language import NONE, START, UNKNOWN
+from wordloom.session import durable, small
 
-def spoken(docs: DataFrame) -> DataFrame:
-    """(doc_id, words): a row for each sentence. Narrow: no shuffle."""
-    rows = docs.select("doc_id", F.explode(sentences(F.col("text"))).alias("s"))
-    return rows.select("doc_id", normal(F.col("s")).alias("words"))
+ORDER = 4
+#: Bounds of a discount that is found from counts, and the discount where no n-gram is rare.
+LOWEST, HIGHEST, EVEN = 0.1, 0.9, 0.5
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, cnt) of plain words."""
-    words = spoken(docs).select(F.explode("words").alias("word")).where(~F.startswith("word", F.lit("\x03")))
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
+def _names(letter: str, count: int) -> list[str]:
+    return [f"{letter}{k}" for k in range(1, count + 1)]
 
 
-def counts(docs: DataFrame, order: int = 4) -> DataFrame:
-    """(n, w1..w_order, cnt): n-grams of all orders, with one START before each sentence.
+def encoded(spoken: DataFrame, ids: DataFrame) -> DataFrame:
+    """(ids): the sentences of texts of several terms as arrays of word ids, UNKNOWN where ids has no row.
 
-    A text of a single term gives none. Windows are cut in arrays, then exploded, so that the only
-    shuffle is that of the partially aggregated counts.
+    ids: (word, word_id), a durable table; it is broadcast where it is small. The one shuffle brings the
+    ids of a sentence together again.
     """
-    several = docs.where(F.size(terms(F.col("text"))) != 1)
-    s = several.select(F.explode(sentences(F.col("text"))).alias("s")).select(F.concat(F.array(F.lit(START)), normal(F.col("s"))).alias("s"))
+    rows = spoken.where("n_terms > 1").select(F.monotonically_increasing_id().alias("key"), "words")
+    tokens = rows.select("key", F.posexplode("words").alias("pos", "word")).join(small(ids), "word", "left")
+    of = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("word_id", F.lit(UNKNOWN)).alias("id"))))
+    return tokens.groupBy("key").agg(of.alias("of")).select(F.transform("of", lambda x: x["id"]).alias("ids"))
 
-    def windows(n: int):
-        none = F.lit(None).cast("string")
 
-        def one(i):
-            return F.struct(F.lit(n).alias("n"), *[(F.element_at("s", i.cast("int") + k) if k < n else none).alias(f"w{k + 1}") for k in range(order)])
+def counts(sentences: DataFrame, order: int = ORDER) -> DataFrame:
+    """(n, w1..w_order, cnt): the n-grams of all orders, with one START before each sentence, none with UNKNOWN.
 
-        return F.when(F.size("s") >= n, F.transform(F.sequence(F.lit(1), F.size("s") - (n - 1)), one))
-
-    cut = [windows(n) for n in range(1, order + 1)]
-    grams = s.select(F.explode(F.flatten(F.filter(F.array(*cut), lambda x: x.isNotNull()))).alias("g")).select("g.*")
-    return grams.groupBy("n", *[f"w{k}" for k in range(1, order + 1)]).agg(F.count(F.lit(1)).alias("cnt"))
+    Only the longest n-gram that begins at a place is counted from the texts; those of a lower order are
+    sums of these counts over what they begin with, each found from the next higher order's table.
+    """
+    cols = _names("w", order)
+    s = sentences.select(F.concat(F.array(F.lit(START)), "ids").alias("s"))
+
+    def at(i: Column) -> Column:
+        found: list[Column] = []
+        for k in range(order):
+            here = F.when(i + k <= F.size("s"), F.element_at("s", (i + k).cast("int"))).otherwise(NONE)
+            found.append(here)
+        return F.struct(*[c.alias(w) for c, w in zip(found, cols, strict=True)])
+
+    grams = s.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("s")), at)).alias("g")).select("g.*")
+    ended, kept = F.lit(False), []
+    for w in cols:  # after an unknown word nothing follows
+        ended = ended | F.col(w).isin(UNKNOWN, NONE)
+        kept.append(F.when(ended, NONE).otherwise(F.col(w)).alias(w))
+    of_all = grams.select(*kept).where(F.col("w1") != NONE)
+    table, tables = of_all.groupBy(*cols).agg(F.count(F.lit(1)).alias("cnt")), []
+    for n in range(order, 0, -1):
+        if n < order:
+            table = table.groupBy(*cols[:n]).agg(F.sum("cnt").alias("cnt"))
+        table = durable(table)
+        own = table.where(F.col(f"w{n}") != NONE)
+        tables.append(own.select(F.lit(n).alias("n"), *cols[:n], *[F.lit(NONE).alias(w) for w in cols[n:]], "cnt"))
+    return reduce(DataFrame.unionByName, tables)
+
+
+def totals(grams: DataFrame) -> DataFrame:
+    """(n, unique_ngrams, total_ngrams)."""
+    return grams.groupBy("n").agg(F.count(F.lit(1)).alias("unique_ngrams"), F.sum("cnt").alias("total_ngrams"))
+
+
+def discounts(grams: DataFrame, low: float = LOWEST, high: float = HIGHEST, fixed: float | None = None) -> DataFrame:
+    """(n, n1, n2, d): the discount of each order, `fixed` or from the n-grams seen once and twice.
+
+    n-grams with START don't count there: it stands first or nowhere.
+    """
+    rows = grams.groupBy("n").agg(F.count_if((F.col("cnt") == 1) & (F.col("w1") != START)).alias("n1"), F.count_if((F.col("cnt") == 2) & (F.col("w1") != START)).alias("n2"))
+    raw = F.when(F.col("n1") + 2 * F.col("n2") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(EVEN)
+    return rows.select("n", "n1", "n2", (F.lit(fixed) if fixed else F.least(F.lit(high), F.greatest(F.lit(low), raw))).cast("double").alias("d"))
 
 
-def discounts(grams: DataFrame, low: float = LOWEST, high: float = HIGHEST) -> DataFrame:
-    """(n, n1, n2, d): absolute discount of each order; n-grams from START on don't count."""
-    rows = grams.groupBy("n").agg(F.count_if((F.col("cnt") == 1) & (F.col("w1") != START)).alias("n1"), F.count_if((F.col("cnt") == 2) & (F.col("w1") != START)).alias("n2"))
-    raw = F.when(F.col("n1") + 2 * F.col("n2") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
-    return rows.select("n", "n1", "n2", F.least(F.lit(high), F.greatest(F.lit(low), raw)).alias("d"))
+def _context(order: int, alias: str = "c") -> list[Column]:
+    return [F.when(F.col("n") > k, F.col(f"w{k}")).otherwise(NONE).alias(f"{alias}{k}") for k in range(1, order)]
 
 
-def contexts(grams: DataFrame, order: int = 4) -> DataFrame:
-    """(n, w1..w_{order-1}, total, children, bow): contexts of n-1 words by the order n of what follows."""
-    last = reduce(lambda out, k: F.when(F.col("n") == k, F.lit(k)).otherwise(out), range(1, order + 1), F.lit(None))
-    keys = [F.when(last > k, F.col(f"w{k}")).alias(f"w{k}") for k in range(1, order)]
-    rows = grams.select("n", *keys, "cnt").groupBy("n", *[f"w{k}" for k in range(1, order)]).agg(F.sum("cnt").alias("total"), F.count(F.lit(1)).alias("children"))
-    d = F.broadcast(discounts(grams).select("n", "d"))  # a row for each order
-    return rows.join(d, "n").select("n", *[f"w{k}" for k in range(1, order)], "total", "children", F.when(F.col("n") > 1, F.col("children") * F.col("d") / F.col("total")).otherwise(1.0).alias("bow"), "d")
+def contexts(grams: DataFrame, d: DataFrame, order: int = ORDER) -> DataFrame:
+    """(n, c1..c_{order-1}, total, children, d, bow); d: (n, d), a row for each order."""
+    rows = grams.select("n", *_context(order), "cnt").groupBy("n", *_names("c", order - 1)).agg(F.sum("cnt").alias("total"), F.count(F.lit(1)).alias("children"))
+    rows = rows.join(F.broadcast(d.select("n", "d")), "n")
+    bow = F.when((F.col("n") > 1) & (F.col("total") > 0), F.try_divide(F.col("children") * F.col("d"), F.col("total").cast("double"))).otherwise(1.0)
+    return rows.select("n", *_names("c", order - 1), "total", "children", "d", bow.alias("bow"))
 
 
-def probabilities(grams: DataFrame, order: int = 4) -> DataFrame:
-    """grams with `freq`, the discounted share of the n-gram among what follows its context."""
-    ctx = contexts(grams, order).select(F.col("n").alias("of_n"), *[F.col(f"w{k}").alias(f"of_w{k}") for k in range(1, order)], "total", "d")
-    on = F.col("n") == F.col("of_n")
-    for k in range(1, order):
-        on = on & F.when(F.col("n") > k, F.col(f"w{k}")).eqNullSafe(F.col(f"of_w{k}"))
+def probabilities(grams: DataFrame, of: DataFrame, order: int = ORDER) -> DataFrame:
+    """grams with prob, the discounted share of an n-gram among what follows its context; `of`: contexts."""
+    cs = _names("c", order - 1)
+    rows = grams.select("*", *_context(order)).join(of.select("n", *cs, "total", "d"), ["n", *cs])
     d = F.when(F.col("n") > 1, F.col("d")).otherwise(0.0)
-    return grams.join(ctx, on).select(*grams.columns, (F.greatest(F.lit(0.0), F.col("cnt") - d) / F.col("total")).alias("freq"))
+    return rows.select(*grams.columns, F.coalesce(F.try_divide(F.greatest(F.lit(0.0), F.col("cnt") - d), F.col("total").cast("double")), F.lit(0.0)).alias("prob"))
+
 
+def levels(rows: DataFrame, freq: DataFrame, of: DataFrame, order: int = ORDER) -> DataFrame:
+    """rows (c1..c_{order-1}, word_id, ...) with f_n, the share of the word at each order, b_n, the back-off
+    weight of the context at each order, and p, the back-off probability.
 
-def backed_off(grams: DataFrame, order: int = 2) -> DataFrame:
-    """(context, word, p) for each observed bigram: its share plus the context's back-off weight times the unigram's."""
-    freq, ctx = probabilities(grams, order), contexts(grams, order)
-    uni = freq.where("n = 1").select(F.col("w1").alias("word"), F.col("freq").alias("f0"))
-    big = freq.where("n = 2").select(F.col("w1").alias("context"), F.col("w2").alias("word"), "freq")
-    bow = ctx.where("n = 2").select(F.col("w1").alias("context"), "bow")
-    return big.join(bow, "context").join(uni, "word").select("context", "word", (F.col("freq") + F.col("bow") * F.col("f0")).alias("p"))
+    A context that the model lacks has share 0 and weight 1. Contexts are looked up once for each, words
+    once for each row; a side is broadcast where Spark finds it small.
+    """
+    cs = _names("c", order - 1)
+    seen = rows.select(*cs).distinct()
+    for n in range(2, order + 1):
+        last = cs[order - n :]
+        own = of.where(F.col("n") == n).select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(last, 1)], F.col("bow").alias(f"b{n}"))
+        seen = seen.join(own, last, "left")
+    rows = rows.join(seen.fillna(1.0, [f"b{n}" for n in range(2, order + 1)]), cs)
+    for n in range(1, order + 1):
+        last = cs[order - n :]
+        own = freq.where(F.col("n") == n).select(*[F.col(f"w{k}").alias(c) for k, c in enumerate(last, 1)], F.col(f"w{n}").alias("word_id"), F.col("prob").alias(f"f{n}"))
+        rows = rows.join(own, [*last, "word_id"], "left")
+    rows = rows.fillna(0.0, [f"f{n}" for n in range(1, order + 1)])
+    p = reduce(lambda low, n: F.col(f"f{n}") + F.col(f"b{n}") * low, range(2, order + 1), F.col("f1"))
+    return rows.withColumn("p", p)
+
+
+def raw_probability(rows: DataFrame, freq: DataFrame, order: int = ORDER) -> DataFrame:
+    """rows (c1..c_{order-1}, word_id) whose context the model has, with the share at the highest order alone."""
+    cs = _names("c", order - 1)
+    own = freq.where(F.col("n") == order).select(*[F.col(f"w{k}").alias(f"c{k}") for k in range(1, order)], F.col(f"w{order}").alias("word_id"), "prob")
+    known = own.select(*cs).distinct()
+    return rows.join(known, cs, "left_semi").join(own, [*cs, "word_id"], "left").fillna(0.0, ["prob"])
+
+
+def backed_off(freq: DataFrame, of: DataFrame, order: int = ORDER, whole: bool = True, upto: int | None = None) -> DataFrame:
+    """freq with p, the back-off probability of each n-gram, found from that of its last n - 1 words.
+
+    In a whole table, of which nothing was pruned, these are an n-gram as well. In others the back-off of
+    the shorter context stands in where they aren't. Orders above `upto` are left out.
+    """
+    cols, out = _names("w", order), []
+    for n in range(1, (upto or order) + 1):
+        rows = freq.where(F.col("n") == n).withColumn("p", F.col("prob"))
+        if n > 1:
+            bow = of.where(F.col("n") == n).select(*[F.col(f"c{k}").alias(f"w{k}") for k in range(1, n)], "bow")
+            low = out[-1].select(*[F.col(f"w{k - 1}").alias(f"w{k}") for k in range(2, n + 1)], F.col("p").alias("low"))
+            if not whole:
+                ask = rows.select(*[F.lit(NONE).alias(f"c{k}") for k in range(1, order - n + 2)], *[F.col(f"w{k}").alias(f"c{order - n + k}") for k in range(2, n)], F.col(f"w{n}").alias("word_id")).distinct()
+                low = levels(ask, freq, of, order).select(*[F.col(f"c{order - n + k}").alias(f"w{k}") for k in range(2, n)], F.col("word_id").alias(f"w{n}"), F.col("p").alias("low"))
+            rows = rows.join(bow, cols[: n - 1]).join(low, cols[1:n]).withColumn("p", F.col("prob") + F.col("bow") * F.col("low"))
+        out.append(durable(rows.select("n", *cols, "cnt", "prob", "p")))
+    return reduce(DataFrame.unionByName, out)

@@ -1,22 +1,53 @@
-"""Pruning of n-gram tables by count."""
+"""Pruning of n-gram tables: by count, or by what an n-gram's probability adds to that of the order below."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.session import durable
+
+from .ngrams import ORDER, backed_off, contexts, discounts, probabilities
 
-def by_count(grams: DataFrame, least: dict[int, int], order: int = 4) -> DataFrame:
+
+def by_count(grams: DataFrame, least: dict[int, int], order: int = ORDER) -> DataFrame:
     """grams without those seen less than least[n] times that no longer n-gram starts with.
 
     From the longest on: an n-gram stays if it is frequent or some longer one that stays begins with it,
     so one equi-join for each order suffices. Unigrams stay.
     """
     kept = grams.where((F.col("n") == order) & (F.col("cnt") >= least.get(order, 0)))
-    out = kept
+    out = [kept]
     for n in range(order - 1, 1, -1):
         words = [f"w{k}" for k in range(1, n + 1)]
         heads = kept.select(*words).distinct().withColumn("goes_on", F.lit(True))
-        kept = grams.where(F.col("n") == n).join(heads, words, "left").where((F.col("cnt") >= least.get(n, 0)) | F.col("goes_on")).select(*grams.columns)
-        out = out.unionByName(kept)
-    return out.unionByName(grams.where("n = 1")) if order > 1 else out
+        kept = durable(grams.where(F.col("n") == n).join(heads, words, "left").where((F.col("cnt") >= least.get(n, 0)) | F.col("goes_on")).select(*grams.columns))
+        out.append(kept)
+    return reduce(DataFrame.unionByName, [*out, grams.where("n = 1")] if order > 1 else out)
+
+
+def by_difference(grams: DataFrame, threshold: float, raw: bool = False, order: int = ORDER, fixed: float | None = None) -> DataFrame:
+    """grams without those for which p * (ln p - ln q) is at most the threshold, and what begins with them.
+
+    p and q are the probabilities of an n-gram and of its last n - 1 words: back-off ones, or shares of one
+    order if raw. Orders are pruned from the longest on; discounts and probabilities are found anew after each.
+    """
+    if threshold <= 0:
+        return grams
+    for n in range(order, 1, -1):
+        d = discounts(grams, fixed=fixed)
+        of = durable(contexts(grams, d, order))
+        freq = durable(probabilities(grams, of, order))
+        rows = freq.withColumn("p", F.col("prob")) if raw else backed_off(freq, of, order, upto=n)
+        words = [f"w{k}" for k in range(1, n + 1)]
+        # Orders below n are whole as yet, so the last n - 1 words are an n-gram of their own.
+        low = rows.where(F.col("n") == n - 1).select(*[F.col(f"w{k}").alias(f"w{k + 1}") for k in range(1, n)], F.col("p").alias("q"))
+        worth = F.col("p") * (F.log("p") - F.log("q"))
+        gone = rows.where(F.col("n") == n).select(*words, "p").join(low, words[1:], "left").where(F.coalesce(worth <= threshold, F.lit(False))).select(*words)
+        # An n-gram of this order or a longer one goes if its first n words do.
+        gone = durable(gone)
+        longer = grams.where(F.col("n") >= n).join(gone, words, "left_anti").select(*grams.columns)
+        grams = durable(grams.where(F.col("n") < n).unionByName(longer))
+    return grams

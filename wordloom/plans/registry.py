@@ -1,33 +1,89 @@
-"""Names of the engine's queries, each with its DataFrame plan and, where SQL can say it, its SQL."""
+"""Names of the engine's queries, each with its DataFrame plan; `sql` says the same another way."""
 
 from __future__ import annotations
 
-import uuid
-
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wordloom import training
+from wordloom.config import Prediction, Training
+from wordloom.functions import strings as S
 from wordloom.functions import terms as T
-from wordloom.functions.separators import ALIASES, END, OFFICIALS, SEP
+from wordloom.functions.separators import SEP
+from wordloom.language import FRENCH, NONE
+from wordloom.operators import correction as C
+from wordloom.operators import dynamic as D
 from wordloom.operators import ngrams as N
+from wordloom.operators import semantic as M
 from wordloom.operators import vocabulary as V
-from wordloom.operators.prediction import completed, last_words, next_words, without
-from wordloom.operators.pruning import by_count
+from wordloom.operators.prediction import context_ids, context_words, predict, read, typed_word, word_ends
+from wordloom.operators.pruning import by_count, by_difference
+from wordloom.session import durable, place
 from wordloom.sources import model
 from wordloom.streaming import dynamic
 
+from . import sql
+
+
+def _table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
 
 def _docs(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def _said(spark, sf_dir):
+    return _table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("user"), "text")
+
 
+def _prompts(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations").where("role = 'user'")
+    return rows.select((F.col("conv_id") * 100_000 + F.col("turn")).alias("prompt_id"), F.col("text").alias("before"))
+
+
+def _typing(spark, sf_dir):
+    """The prompts, cut within their last word where that has four characters or more."""
+    return _prompts(spark, sf_dir).withColumn("before", F.regexp_replace(F.rtrim(F.col("before")), rf"([^{SEP}]{{2}})[^{SEP}]{{2,}}[{SEP}]*\z", "$1"))
+
+
+def _lexicon(spark, sf_dir):
+    """The words of benchmark and their shares, in place of an external lexicon."""
+    words = V.counted(T.spoken(_table(spark, sf_dir, "benchmark").select("text")))
+    return words.crossJoin(F.broadcast(words.agg(F.sum("cnt").alias("all")))).select("word", (F.col("cnt") / F.col("all")).alias("freq"))
 
-def _items(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), "text")
 
+_TRAINED: dict[tuple[str, str], str] = {}
 
-def _turns(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'")
-    return rows.select((F.col("conv_id") * 100_000 + F.col("turn")).alias("doc_id"), "text")
+
+def trained(spark, sf_dir) -> model.Model:
+    """The model of documents, trained once in a session; queries read its tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TRAINED:
+        at = place(spark, "training")
+        training.train(_docs(spark, sf_dir), durable(_lexicon(spark, sf_dir)), Training(), at)
+        _TRAINED[key] = at
+    return training.load(spark, _TRAINED[key])
+
+
+def stage(spark, sf_dir, name) -> DataFrame:
+    trained(spark, sf_dir)
+    return spark.read.parquet(f"{_TRAINED[spark.sparkContext.applicationId, sf_dir]}/{name}")
+
+
+def _shown(rows, words, columns):
+    """rows with texts in place of word ids; null where there is no word."""
+    known = F.broadcast(words.select("word_id", "word").unionByName(V.tag_ids(words.sparkSession)))
+    for c in columns:
+        rows = rows.join(known.select(F.col("word_id").alias(c), F.col("word").alias(f"{c}_text")), c, "left").drop(c).withColumnRenamed(f"{c}_text", c)
+    return rows
+
+
+W4, C3 = ["w1", "w2", "w3", "w4"], ["c1", "c2", "c3"]
+
+
+# Texts
 
 
 def tok_separator_hist(spark, sf_dir):
@@ -43,276 +99,388 @@ def tok_counts(spark, sf_dir):
 
 
 def term_ec_counts(spark, sf_dir):
-    t = _docs(spark, sf_dir).select(F.explode(T.terms(F.col("text"))).alias("term"))
-    t = t.withColumn("kind", T.kind(F.col("term")))
-    return t.where("kind <> 'SEPARATOR'").groupBy("kind", T.value(F.col("term"), F.col("kind")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    t = _docs(spark, sf_dir).select(F.explode(F.filter(T.classified(F.col("text")), lambda x: x["k"] != "SEPARATOR")).alias("x"))
+    t = t.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    return t.groupBy(F.col("x.k").alias("kind"), T.value(F.col("x.t"), F.col("x.k")).alias("value")).agg(F.sum("n").alias("n"))
+
+
+def term_semantic_counts(spark, sf_dir):
+    """Dates, week days and proper names among the terms, and all others, by class."""
+    t = _docs(spark, sf_dir).select(F.explode(F.filter(T.classified(F.col("text"), FRENCH.semantic_matchers), lambda x: x["k"] != "SEPARATOR")).alias("x"))
+    return t.groupBy(F.col("x.k").alias("kind"), T.value(F.col("x.t"), F.col("x.k")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def term_dates(spark, sf_dir):
+    """The order dates, written in five ways in a sentence, as terms: each way's terms, counted."""
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").cast("date").alias("d"))
+    months = F.array(*[F.lit(m) for m in sql.MONTHS])
+    month, day, year = F.get(months, F.month("d") - 1), F.dayofmonth("d").cast("string"), F.year("d").cast("string")
+    days = F.array(*[F.lit(x) for x in sql.DAYS])
+    said = F.concat(
+        F.lit("le "), F.date_format("d", "d/M/yy"), F.lit(" puis "), F.date_format("d", "dd-MM-yyyy"), F.lit(", "), day, F.lit(" "), F.initcap(month), F.lit(" "), year,
+        F.lit("; en "), month, F.lit(" "), year, F.lit(" ou "), day, F.lit(" "), month, F.lit(". "), F.initcap(F.get(days, F.weekday("d"))),
+    )
+    t = o.select(F.explode(F.filter(T.classified(said, FRENCH.semantic_matchers), lambda x: x["k"] != "SEPARATOR")).alias("x"))
+    return t.groupBy(F.col("x.k").alias("kind"), T.value(F.col("x.t"), F.col("x.k")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def sentence_stats(spark, sf_dir):
-    return N.spoken(_docs(spark, sf_dir)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.sum(F.size("words")).alias("words"), F.max(F.size("words")).alias("longest"))
+    rows = T.sentences(_docs(spark, sf_dir)).where(F.size("said") > 0)
+    sizes = F.transform("said", lambda s: F.size(s).cast("long"))
+    rows = rows.select("doc_id", F.size("said").cast("long").alias("sentences"), sizes.alias("sizes"))
+    return rows.select("doc_id", "sentences", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("words"), F.array_max("sizes").alias("longest"))
 
 
 def start_end_until_separator(spark, sf_dir):
     t = T.canonical(F.col("text"))
-    head, tail = F.regexp_extract(t, f"^[^{SEP}]*", 0), F.regexp_extract(t, rf"[^{SEP}]*\z", 0)
+    head, tail = S.until_separator(t), S.since_separator(t)
     return _docs(spark, sf_dir).select("doc_id", head.alias("head"), F.length(head).alias("head_length"), tail.alias("tail"), F.length(tail).alias("tail_length"))
 
 
+def string_functions(spark, sf_dir):
+    """What the text functions say of the words of documents."""
+    w = stage(spark, sf_dir, "counts").select("word")
+    x = F.col("word")
+    pre = F.left(x, F.lit(2))
+    insert, remove = S.insertion(S.capitalize(x), pre)
+    return w.select(
+        "word", S.capitalize(x).alias("capitalized"), S.uncapitalize(x).alias("uncapitalized"), S.is_capitalized(x).alias("is_capitalized"), S.is_upper(x).alias("is_upper"),
+        S.has_upper(x).alias("has_upper"), S.is_blank(x).alias("is_blank"), S.same_ignoring_case(x, F.upper(x)).alias("same"), S.position(F.lit("e"), x, F.lit(1)).alias("e_at"), S.position(F.lit(""), x, F.lit(1)).alias("empty_at"),
+        insert.alias("insert"), remove.alias("remove"),
+    )
+
+
+# Vocabulary
+
+
 def word_counts(spark, sf_dir):
-    return N.word_counts(_docs(spark, sf_dir))
+    return V.counted(T.spoken(_docs(spark, sf_dir)))
+
+
+def case_stats(spark, sf_dir):
+    return V.case_stats(stage(spark, sf_dir, "counts")).withColumn("share", F.round("share", 10))
+
+
+def vocab_clean(spark, sf_dir):
+    return V.cleaned(stage(spark, sf_dir, "counts"), _lexicon(spark, sf_dir))
+
+
+def vocab_totals(spark, sf_dir):
+    """How many words were counted, how many spellings there are, how many are known, and how large the vocabulary is."""
+    clean = stage(spark, sf_dir, "words-clean")
+    own = clean.agg(F.sum("cnt").alias("words"), F.count(F.lit(1)).alias("spellings"), F.count("kept").alias("known"))
+    return own.crossJoin(F.broadcast(stage(spark, sf_dir, "words").agg(F.count(F.lit(1)).alias("vocabulary"))))
+
+
+def word_ids(spark, sf_dir):
+    return V.word_ids(V.kept_words(stage(spark, sf_dir, "words-clean")))
+
+
+def unknown_rate_by_lang(spark, sf_dir):
+    """Words of each language's documents, and how many of them the vocabulary lacks."""
+    rows = T.spoken(_table(spark, sf_dir, "documents").select("lang", "text")).select("lang", F.explode("words").alias("word")).where(~F.startswith("word", F.lit("<")))
+    rows = rows.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).join(stage(spark, sf_dir, "words-ids").select("word", "word_id"), "word", "left")
+    return rows.groupBy("lang").agg(F.sum("n").alias("words"), F.sum(F.when(F.col("word_id").isNull(), F.col("n")).otherwise(0)).alias("unknown"))
+
+
+def text_to_id(spark, sf_dir):
+    """Words of the prompts with the vocabulary's spelling of them: their own, else the lower-case one, else none."""
+    m = trained(spark, sf_dir)
+    words = dynamic.used(_said(spark, sf_dir)).select("word").distinct()
+    found = V.with_ids(words, m.words)
+    return V.texts_of(found.withColumnRenamed("word", "asked"), m.words).select("asked", "word")
+
+
+def user_words_valid(spark, sf_dir):
+    """Words of each conversation that the vocabulary lacks."""
+    return V.user_words(dynamic.used(_said(spark, sf_dir)), trained(spark, sf_dir).words)
+
+
+def user_overlay(spark, sf_dir):
+    """The vocabulary with the prompts' unknown words put over it, and the words of benchmark forbidden."""
+    m = trained(spark, sf_dir)
+    new = D.learned_words(dynamic.used(_said(spark, sf_dir)), m)
+    off = V.tuned(m.words.join(_lexicon(spark, sf_dir).select("word"), "word", "left_semi").withColumn("force_invalid", F.lit(True)).withColumn("modified", F.lit(True)))
+    out = V.overlaid(m.words, new.unionByName(off.select(*new.columns)))
+    return out.select("word", "cnt", "user_word", "use_count", "force_invalid", V.predictable().alias("valid"))
+
+
+# N-grams
 
 
 def ngram_counts(spark, sf_dir):
-    return _named(N.counts(_items(spark, sf_dir)))
+    return _shown(stage(spark, sf_dir, "grams"), trained(spark, sf_dir).words, W4)
 
 
 def ngram_totals(spark, sf_dir):
-    g = N.counts(_docs(spark, sf_dir))
-    return g.groupBy("n").agg(F.count(F.lit(1)).alias("unique_ngrams"), F.sum("cnt").alias("total_ngrams"))
+    return N.totals(stage(spark, sf_dir, "grams"))
 
 
 def discount_by_order(spark, sf_dir):
-    return N.discounts(N.counts(_docs(spark, sf_dir))).withColumn("d", F.round("d", 10))
+    return N.discounts(stage(spark, sf_dir, "grams")).withColumn("d", F.round("d", 10))
+
+
+def ngram_probs(spark, sf_dir):
+    m = trained(spark, sf_dir)
+    return _shown(m.grams.select("n", *W4, F.round("prob", 10).alias("prob")), m.words, W4)
 
 
 def context_bow(spark, sf_dir):
-    c = N.contexts(N.counts(_docs(spark, sf_dir), 2), 2).where("n = 2")
-    return c.select(F.replace("w1", F.lit("\x02"), F.lit("")).alias("context"), "total", "children", F.round("bow", 10).alias("bow"))
+    m = trained(spark, sf_dir)
+    return _shown(m.contexts.where("n > 1").select("n", *C3, "total", "children", F.round("bow", 10).alias("bow")), m.words, C3)
 
 
 def backoff_prob(spark, sf_dir):
-    p = N.backed_off(N.counts(_items(spark, sf_dir), 2))
-    return p.select(F.replace("context", F.lit("\x02"), F.lit("")).alias("context"), "word", F.round("p", 10).alias("p"))
+    m = trained(spark, sf_dir)
+    return _shown(N.backed_off(m.grams, m.contexts).select("n", *W4, F.round("p", 10).alias("p")), m.words, W4)
 
 
 def prob_sum_check(spark, sf_dir):
     """Shares of all children of a context and its back-off weight make one."""
-    g = N.counts(_docs(spark, sf_dir), 2)
-    freq = N.probabilities(g, 2).where("n = 2").groupBy("w1").agg(F.sum("freq").alias("f"))
-    c = N.contexts(g, 2).where("n = 2").select("w1", "bow")
-    return freq.join(c, "w1").agg(F.count(F.lit(1)).alias("contexts"), F.count_if(F.abs(F.col("f") + F.col("bow") - 1) < 1e-9).alias("sum_to_one"))
+    m = trained(spark, sf_dir)
+    freq = m.grams.select("n", *[F.when(F.col("n") > k, F.col(f"w{k}")).otherwise(NONE).alias(f"c{k}") for k in (1, 2, 3)], "prob").groupBy("n", *C3).agg(F.sum("prob").alias("f"))
+    both = freq.join(m.contexts, ["n", *C3]).withColumn("one", F.abs(F.col("f") + F.when(F.col("n") > 1, F.col("bow")).otherwise(0.0) - 1) < 1e-9)
+    return both.groupBy("n").agg(F.count(F.lit(1)).alias("contexts"), F.count_if("one").alias("sum_to_one"))
+
+
+def prune_raw_count(spark, sf_dir):
+    left = by_count(stage(spark, sf_dir, "grams"), dict.fromkeys((2, 3, 4), 3))
+    return _shown(left, trained(spark, sf_dir).words, W4)
+
+
+def prune_order_count(spark, sf_dir):
+    return N.totals(by_count(stage(spark, sf_dir, "grams"), {2: 2, 3: 3, 4: 4}))
+
+
+def prune_wd_full(spark, sf_dir):
+    return N.totals(by_difference(stage(spark, sf_dir, "grams"), sql.DIFFERENCE))
+
+
+def prune_wd_raw(spark, sf_dir):
+    return N.totals(by_difference(stage(spark, sf_dir, "grams"), sql.DIFFERENCE, raw=True))
+
+
+def model_roundtrip(spark, sf_dir):
+    """Totals and words of a model that was written and read again."""
+    m = trained(spark, sf_dir)
+    at = place(spark, "model")
+    model.save(m.words.drop(*V.TUNING), m.grams, m.contexts, m.discounts, at)
+    again = model.load(spark, at)
+    words = again.words.agg(F.count(F.lit(1)).alias("words"), F.sum("cnt").alias("word_total"))
+    return N.totals(again.grams).crossJoin(F.broadcast(words))
+
+
+# Prediction
+
+
+def started_word(spark, sf_dir):
+    """What of each prompt is a word being typed, and the context before it."""
+    m = trained(spark, sf_dir)
+    rows = durable(read(_typing(spark, sf_dir), 5))
+    rows = context_ids(context_words(typed_word(rows, word_ends(rows), m, 10), 4), m.words, 4)
+    return _shown(rows.select("prompt_id", "typed", "looked", "term_count", *C3), m.words, C3)
 
 
-def predict_bigram_top5(spark, sf_dir):
-    return next_words(_docs(spark, sf_dir), _turns(spark, sf_dir))
+_RESULT = ["prompt_id", "rank", "display", "insert", "space", "round(score, 8) score", "remove_before", "remove_after"]
+
+
+def predict_top5(spark, sf_dir):
+    """The next words after each prompt and a space."""
+    before = _prompts(spark, sf_dir).withColumn("before", F.concat("before", F.lit(" ")))
+    return predict(before, trained(spark, sf_dir)).selectExpr(*_RESULT)
+
+
+def predict_prefix(spark, sf_dir):
+    """The words that each prompt's last one, typed as far as its second character, may become."""
+    return predict(_typing(spark, sf_dir).withColumn("after", F.lit("xy z")), trained(spark, sf_dir)).selectExpr(*_RESULT)
 
 
 def predict_exclude(spark, sf_dir):
-    """The next five after two words that were shown already."""
-    found = next_words(_docs(spark, sf_dir), _turns(spark, sf_dir), 7)
-    return without(found, found.where("rank <= 2"), 5)
+    """The next words after each prompt and a space, less the two that were shown first."""
+    m = trained(spark, sf_dir)
+    before = durable(_prompts(spark, sf_dir).withColumn("before", F.concat("before", F.lit(" "))))
+    shown = predict(before, m).where("rank <= 2").groupBy("prompt_id").agg(F.collect_list("word_id").alias("exclude"))
+    return predict(before.join(durable(shown), "prompt_id", "left"), m).selectExpr(*_RESULT)
 
 
-def predict_completion(spark, sf_dir):
-    """Each turn's last word of three characters or more, typed as far as its second, at a sentence's start."""
-    last = last_words(_turns(spark, sf_dir)).where((F.length("context") >= 3) & ~F.startswith("context", F.lit("\x03")))
-    typed = last.select(F.col("doc_id").alias("prompt_id"), F.lit(N.START).alias("context"), F.left("context", F.lit(2)).alias("prefix"))
-    return completed(_docs(spark, sf_dir), typed)
+def predict_min_chars(spark, sf_dir):
+    """predict_prefix where at least two characters must be typed, three words wanted."""
+    return predict(_typing(spark, sf_dir), trained(spark, sf_dir), Prediction(wanted=3, least_typed=2)).selectExpr(*_RESULT)
 
 
-def _lexicon(spark, sf_dir):
-    """The words of benchmark and their shares, in place of an external lexicon."""
-    words = N.word_counts(_items(spark, sf_dir))
-    return words.crossJoin(F.broadcast(words.agg(F.sum("cnt").alias("all")))).select("word", (F.col("cnt") / F.col("all")).alias("freq"))
+def _user_model(spark, sf_dir):
+    m = trained(spark, sf_dir)
+    said = _said(spark, sf_dir)
+    user = model.with_user(m, D.learned_words(dynamic.used(said), m))
+    return user, D.interpolated(D.as_ids(dynamic.counted(said), user.words, 4), m)
 
 
-def case_stats(spark, sf_dir):
-    return V.case_stats(N.word_counts(_docs(spark, sf_dir))).withColumn("share", F.round("share", 10))
+def predict_dynamic(spark, sf_dir):
+    """predict_top5 with what all users wrote mixed in."""
+    m, dyn = _user_model(spark, sf_dir)
+    before = _prompts(spark, sf_dir).withColumn("before", F.concat("before", F.lit(" ")))
+    return predict(before, m, Prediction(least_uses=2), dyn).selectExpr(*_RESULT)
 
 
-def vocab_clean(spark, sf_dir):
-    return V.cleaned(N.word_counts(_docs(spark, sf_dir)), _lexicon(spark, sf_dir))
+def dynamic_probs(spark, sf_dir):
+    """Shares of what all users wrote, and the weight of that model."""
+    m, dyn = _user_model(spark, sf_dir)
+    return _shown(dyn["grams"].select("n", *W4, "cnt", F.round("prob", 10).alias("prob"), F.round(F.lit(dyn["weight"]), 10).alias("weight")), m.words, W4)
 
 
-def word_ids(spark, sf_dir):
-    return V.word_ids(N.word_counts(_docs(spark, sf_dir)))
+def rule_expand(spark, sf_dir):
+    """The rows of all rule families, keyboard included."""
+    tree = C.families()
+    tree.children[-1].enabled = True
+    return C.expanded(spark, tree.active()).drop("rule_id")
 
 
-def user_words_valid(spark, sf_dir):
-    """Words of each conversation that documents lack."""
-    words = N.spoken(_said(spark, sf_dir).select(F.col("user").alias("doc_id"), "text")).select(F.col("doc_id").alias("user"), F.explode("words").alias("word")).where(~F.startswith("word", F.lit("\x03")))
-    return V.user_words(words, N.word_counts(_docs(spark, sf_dir)))
+def _misspelt(spark, sf_dir):
+    """The vocabulary's words of five characters or more, accents off, first and second characters kept."""
+    w = trained(spark, sf_dir).words.where(F.length("word") >= 5).select(F.translate(F.lower("word"), "éèêëàâîïôöùûüç", "eeeeaaiioouuuc").alias("looked"))
+    return w.distinct()
 
 
-def prune_raw_count(spark, sf_dir):
-    return _named(by_count(N.counts(_items(spark, sf_dir)), dict.fromkeys((2, 3, 4), 3)))
+def correct_accents(spark, sf_dir):
+    """Words that the vocabulary's words without accents may stand for, by the rules of accents."""
+    m = trained(spark, sf_dir)
+    rules = C.expanded(spark, next(c for c in C.families().children if c.name == "accents").active())
+    out = C.corrected(durable(_misspelt(spark, sf_dir)), rules, m)
+    return out.join(m.words.select("word_id", "word"), "word_id").select("looked", "word", F.round("factor", 8).alias("factor"))
 
 
-def prune_order_count(spark, sf_dir):
-    return _named(by_count(N.counts(_docs(spark, sf_dir)), {2: 2, 3: 3, 4: 4})).groupBy("n").agg(F.count(F.lit(1)).alias("unique_ngrams"), F.sum("cnt").alias("total_ngrams"))
+def correct_words(spark, sf_dir):
+    """predict_prefix with corrections by accents, doubled letters, likeness and splits."""
+    families = [c for c in C.families().children if c.name in ("accents", "doubled", "splits", "seen", "m before m, b, p")]
+    rules = C.expanded(spark, [r for c in families for r in c.active()])
+    how = Prediction(correction=True, most_cost=1.6)
+    typing = _prompts(spark, sf_dir).withColumn("before", F.rtrim(F.regexp_replace("before", rf"[{SEP}]*\z", "")))
+    return predict(typing, trained(spark, sf_dir), how, rules=rules).selectExpr(*_RESULT, "correction")
 
 
-def _said(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'").select(F.col("conv_id").alias("user"), "text")
+# What users write
 
 
-def _shown(counted):
-    return counted.withColumn("gram", F.replace("gram", F.lit("\x02"), F.lit("")))
+def _text(counted):
+    return counted.withColumn("gram", F.array_join("gram", " "))
 
 
 def dynamic_counts(spark, sf_dir):
-    return _shown(dynamic.counted(_said(spark, sf_dir)))
+    return _text(dynamic.counted(_said(spark, sf_dir)))
+
+
+def dynamic_counts_known(spark, sf_dir):
+    """dynamic_counts of ended sentences, without what has an unknown word near."""
+    return _text(dynamic.counted(_said(spark, sf_dir), ended=True, known=stage(spark, sf_dir, "words-ids")))
+
+
+def _stream(spark, sf_dir):
+    rows = spark.readStream.schema(_table(spark, sf_dir, "conversations").schema).parquet(f"{sf_dir}/conversations[.]parquet")  # as a pattern: a stream's plain path must be a folder
+    return rows.where("role = 'user'").select(F.col("conv_id").alias("user"), "text")
 
 
 def stream_dynamic_counts(spark, sf_dir):
-    rows = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/conversations.parquet").schema).parquet(f"{sf_dir}/conversations[.]parquet")  # as a pattern: a stream's plain path must be a folder
-    return _shown(dynamic.stream_counts(rows.where("role = 'user'").select(F.col("conv_id").alias("user"), "text")))
+    return _text(dynamic.stream_counts(_stream(spark, sf_dir)))
 
 
-def model_roundtrip(spark, sf_dir):
-    """Totals of a model that was written and read again."""
-    at = f"{dynamic.shared_folder(spark)}/model-{uuid.uuid4().hex}"
-    model.save(N.counts(_items(spark, sf_dir)), V.word_ids(N.word_counts(_items(spark, sf_dir))), at)
-    grams, _ = model.load(spark, at)
-    return grams.groupBy("n").agg(F.count(F.lit(1)).alias("unique_ngrams"), F.sum("cnt").alias("total_ngrams"))
+def stream_user_words(spark, sf_dir):
+    return dynamic.stream_uses(_stream(spark, sf_dir))
 
 
 def fifo_distinct(spark, sf_dir):
     """Distinct event types among a user's last four events."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type")
+    e = _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
     last = F.collect_set("event_type").over(W.partitionBy("user_id").orderBy("event_id").rowsBetween(-3, 0))
     return e.select("event_id", "user_id", F.size(last).alias("kinds"))
 
 
-def _named(grams):
-    return grams.withColumn("w1", F.replace("w1", F.lit("\x02"), F.lit("")))
+# Word meanings
+
+
+def _spots(spark, sf_dir):
+    """The terms of documents; the words of benchmark that are in the vocabulary stand for the stop words."""
+    m = trained(spark, sf_dir)
+    stops = V.with_ids(_lexicon(spark, sf_dir).where("freq > 0.02").select("word"), m.words).where("word_id is not null").select("word_id")
+    return M.meant(M.positions(_docs(spark, sf_dir)), m.words, stops)
+
+
+def lsa_word_rank(spark, sf_dir):
+    m = trained(spark, sf_dir)
+    index = M.indexed(_spots(spark, sf_dir), 500, 100)
+    return _shown(index.select("word_id", "cnt", "col"), m.words, ["word_id"]).withColumnRenamed("word_id", "word").select("word", "cnt", F.col("col").isNotNull().alias("is_column"))
+
+
+def _index(spark, sf_dir, spots):
+    return durable(M.indexed(spots, 500, 100))
+
+
+def lsa_cooc(spark, sf_dir):
+    m = trained(spark, sf_dir)
+    spots = durable(_spots(spark, sf_dir))
+    index = _index(spark, sf_dir, spots)
+    pairs = M.cooccurrences(spots, index, 6)
+    pairs = pairs.join(index.select("row", F.col("word_id").alias("a")), "row").join(index.where("col is not null").select("col", F.col("word_id").alias("b")), "col")
+    return _shown(pairs.select("a", "b", "value"), m.words, ["a", "b"])
+
+
+def lsa_fill(spark, sf_dir):
+    spots = durable(_spots(spark, sf_dir))
+    index = _index(spark, sf_dir, spots)
+    return M.fill(M.cooccurrences(spots, index, 6), index.count(), index.where("col is not null").count()).withColumn("share", F.round("share", 10))
+
+
+def lsa_svd(spark, sf_dir):
+    """The vectors' lengths and dimensions; their signs are anyone's."""
+    spots = durable(_spots(spark, sf_dir))
+    index = _index(spark, sf_dir, spots)
+    vecs = M.meanings(durable(M.cooccurrences(spots, index, 6)), index, 8)
+    return vecs.select("word_id", F.size("vec").alias("rank"), F.round(M.length(F.col("vec")), 6).alias("length"))
+
+
+def _vectors(spark, sf_dir):
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    return rows.withColumn("vec", M.normalized(F.col("vec")))
+
+
+def cosine_pairs(spark, sf_dir):
+    return M.similar_pairs(_vectors(spark, sf_dir), 0.35).withColumn("cosine", F.round("cosine", 8))
+
+
+def density_topk(spark, sf_dir):
+    return M.densities(_vectors(spark, sf_dir), 20).withColumn("density", F.round("density", 8))
+
+
+def density_scaled(spark, sf_dir):
+    found = M.scaled(durable(M.densities(_vectors(spark, sf_dir), 20)), 0.5, 2.0)
+    return found.select("id", F.round("scaled", 8).alias("scaled"))
+
+
+def context_similarity(spark, sf_dir):
+    """Vectors of a label as contexts, each with the vectors whose id is ten times a label as candidates."""
+    v = _table(spark, sf_dir, "embeddings")
+    context = v.where("label is not null and vec_id % 7 = 0").select(F.col("label").alias("context"), F.col("vec_id").alias("id"))
+    candidates = context.select("context").distinct().join(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("id")))
+    out = M.context_similarity(context, _vectors(spark, sf_dir), candidates, 2.0)
+    return out.select("context", "id", F.round("cosine", 8).alias("cosine"), F.round("share", 8).alias("share"))
 
 
 def flagship(spark, sf_dir):
-    return predict_bigram_top5(spark, sf_dir)
+    return predict_top5(spark, sf_dir)
 
 
-_ALL = [tok_counts, tok_separator_hist, term_ec_counts, sentence_stats, start_end_until_separator, word_counts, ngram_counts, ngram_totals, discount_by_order, context_bow, backoff_prob, prob_sum_check, predict_bigram_top5, predict_exclude, predict_completion, case_stats, vocab_clean, word_ids, user_words_valid, prune_raw_count, prune_order_count, dynamic_counts, stream_dynamic_counts, model_roundtrip, fifo_distinct]
+_ALL = [
+    tok_counts, tok_separator_hist, term_ec_counts, term_semantic_counts, term_dates, sentence_stats, start_end_until_separator, string_functions,
+    word_counts, case_stats, vocab_clean, vocab_totals, word_ids, unknown_rate_by_lang, text_to_id, user_words_valid, user_overlay,
+    ngram_counts, ngram_totals, discount_by_order, ngram_probs, context_bow, backoff_prob, prob_sum_check, prune_raw_count, prune_order_count, prune_wd_full, prune_wd_raw, model_roundtrip,
+    started_word, predict_top5, predict_prefix, predict_exclude, predict_min_chars, predict_dynamic, dynamic_probs, rule_expand, correct_accents, correct_words,
+    dynamic_counts, dynamic_counts_known, stream_dynamic_counts, stream_user_words, fifo_distinct,
+    lsa_word_rank, lsa_cooc, lsa_fill, lsa_svd, cosine_pairs, density_topk, density_scaled, context_similarity,
+]
 
 
 def queries() -> dict:
     return {f.__name__: f for f in _ALL}
 
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
-# A second way to the same terms: RE2 has no look-ahead, so every token gets an end mark (code 1) first
-# and matchers name whole tokens. A hyphen run that fails is cut into its tokens afterwards.
-_E = "\\x01"
-_CANON = f"translate(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\\r\\n?', '\\n', 'g'), '\\n\\z', ''), '(?m)^\ufeff', '', 'g'), {_quoted(ALIASES)}, {_quoted(OFFICIALS)})".replace("'\\n', 'g'", "chr(10), 'g'")
-_RULES = [
-    ("PERCENT", f"\\d+{_E}[,.]{_E}\\d+{_E}(?: {_E})?%{_E}|\\d+{_E}(?: {_E})?%{_E}"),
-    ("WORD", f"(?i:aujourd){_E}\\x27{_E}(?i:hui){_E}"),
-    ("DECIMAL", f"\\d+{_E}[.,]{_E}\\d+{_E}"),
-    ("INTEGER", f"\\d+{_E}"),
-    ("WORD", f"\\p{{L}}+{_E}\\x27{_E}"),
-    ("ACRONYM", f"\\p{{Lu}}{_E}(?:\\.{_E}\\p{{Lu}}{_E})+(?:\\.{_E})?"),
-]
-_RUN = f"\\p{{L}}+{_E}(?:-{_E}\\p{{L}}+{_E})+"
-_ANY = "|".join([*(p for _, p in _RULES), f"{_RUN}(?:-{_E})?", f"[^{SEP}{_E}]+{_E}", f"[{SEP}]{_E}"])
-_KIND = "CASE " + f"WHEN regexp_full_match(x, '[{SEP}]{_E}') THEN 'SEPARATOR' " + " ".join(f"WHEN regexp_full_match(x, '{p}') THEN '{k}'" for k, p in _RULES) + " ELSE 'WORD' END"
-
-
-def _terms_sql(table: str, key: str, where: str = "true") -> str:
-    return f"""
-canon AS (SELECT {key} AS doc_id, {_CANON} AS t FROM {table} WHERE {where}),
-marked AS (SELECT doc_id, t, regexp_replace(t, '([^{SEP}]+|[{SEP}])', '\\1' || chr(1), 'g') AS m FROM canon),
-found AS (SELECT doc_id, t, regexp_extract_all(m, '{_ANY}') AS l FROM marked),
-flat AS (SELECT doc_id, t, flatten(list_transform(l, lambda x: CASE WHEN regexp_full_match(x, '{_RUN}-{_E}') THEN regexp_extract_all(x, '[^{_E}]+{_E}') ELSE [x] END)) AS l FROM found),
-term AS (SELECT doc_id, t, unnest(l) AS x, unnest(range(len(l))) AS pos FROM flat),
-kinds AS (SELECT doc_id, t, pos, replace(x, chr(1), '') AS term, {_KIND} AS kind FROM term),
-numbered AS (SELECT *, sum(CASE WHEN kind = 'SEPARATOR' AND regexp_matches(term, '[{END}]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS sent FROM kinds),
-spoken AS (SELECT doc_id, t, sent, pos, CASE WHEN kind = 'WORD' THEN term ELSE chr(3) || kind END AS raw, row_number() OVER (PARTITION BY doc_id, sent ORDER BY pos) AS i FROM numbered WHERE kind <> 'SEPARATOR'),
-word AS (SELECT doc_id, t, sent, i, CASE WHEN i = 1 AND regexp_matches(raw, '^\\p{{Lu}}') THEN lower(raw) ELSE raw END AS w FROM spoken)"""
-
-
-def _grams_sql(order: int) -> str:
-    cols = ", ".join(f"w{k}" for k in range(1, order + 1))
-    lead = ", ".join(f"lead(w, {k - 1}) OVER s AS w{k}" for k in range(1, order + 1))
-    part = " UNION ALL ".join(f"SELECT {n} AS n, {', '.join(f'w{k}' if k <= n else f'NULL::VARCHAR AS w{k}' for k in range(1, order + 1))} FROM led WHERE w{n} IS NOT NULL" for n in range(1, order + 1))
-    return f""",
-one AS (SELECT doc_id FROM kinds GROUP BY doc_id HAVING count(*) = 1),
-started AS (SELECT doc_id, sent, i, w FROM word WHERE doc_id NOT IN (SELECT doc_id FROM one)
-  UNION ALL SELECT DISTINCT doc_id, sent, 0, 'START' FROM word WHERE doc_id NOT IN (SELECT doc_id FROM one)),
-led AS (SELECT {lead} FROM started WINDOW s AS (PARTITION BY doc_id, sent ORDER BY i)),
-grams AS (SELECT n, {cols}, count(*) AS cnt FROM ({part}) GROUP BY ALL),
-disc AS (SELECT n, count(*) FILTER (cnt = 1 AND w1 <> 'START') AS n1, count(*) FILTER (cnt = 2 AND w1 <> 'START') AS n2 FROM grams GROUP BY n),
-d AS (SELECT n, n1, n2, least(0.9, greatest(0.1, CASE WHEN n1 + 2 * n2 > 0 THEN n1 / (n1 + 2 * n2) ELSE 0.5 END)) AS d FROM disc)"""
-
-
-_BIGRAMS = """,
-uni AS (SELECT w1 AS word, cnt / sum(cnt) OVER () AS f0 FROM grams WHERE n = 1),
-ctx AS (SELECT w1 AS context, sum(cnt) AS total, count(*) AS children FROM grams WHERE n = 2 GROUP BY w1),
-bows AS (SELECT context, total, children, children * d / total AS bow, d FROM ctx, d WHERE d.n = 2),
-big AS (SELECT w1 AS context, w2 AS word, greatest(0, cnt - d) / total AS f1, bow FROM grams JOIN bows ON context = w1 WHERE n = 2)"""
-
-
 def oracle_sql() -> dict:
-    docs, items = _terms_sql("documents", "doc_id"), _terms_sql("benchmark", "item_id")
-    asked = f"""SELECT doc_id, arg_max(w, sent * 1000000 + i) AS context FROM word_p GROUP BY doc_id"""
-    prompts = _terms_sql("conversations", "conv_id * 100000 + turn", "role = 'user'")
-    for name in ("canon", "marked", "found", "flat", "term", "kinds", "numbered", "spoken", "word"):
-        prompts = prompts.replace(f"{name} AS (", f"{name}_p AS (").replace(f"FROM {name})", f"FROM {name}_p)").replace(f"FROM {name} ", f"FROM {name}_p ")
-    words = "SELECT w AS word, count(*) AS cnt FROM word WHERE NOT starts_with(w, chr(3)) GROUP BY w"
-    said = _terms_sql("conversations", "conv_id * 100000 + turn", "role = 'user'")
-    pruned = """,
-k4 AS (SELECT * FROM grams WHERE n = 4 AND cnt >= {4}),
-k3 AS (SELECT * FROM grams g WHERE n = 3 AND (cnt >= {3} OR EXISTS (SELECT 1 FROM k4 WHERE k4.w1 = g.w1 AND k4.w2 = g.w2 AND k4.w3 = g.w3))),
-k2 AS (SELECT * FROM grams g WHERE n = 2 AND (cnt >= {2} OR EXISTS (SELECT 1 FROM k3 WHERE k3.w1 = g.w1 AND k3.w2 = g.w2))),
-kept AS (SELECT * FROM k4 UNION ALL SELECT * FROM k3 UNION ALL SELECT * FROM k2 UNION ALL SELECT * FROM grams WHERE n = 1)"""
-    lags = ", ".join(f"coalesce(lag(w, {k}) OVER s, 'START') AS l{k}" for k in (1, 2, 3))
-    ends = " UNION ALL ".join(f"SELECT u, {n} AS n, concat_ws(' ', {', '.join([*(f'l{k}' for k in range(n - 1, 0, -1)), 'w'])}) AS gram FROM lagged{' WHERE i > 1' if n > 2 else ''}" for n in (1, 2, 3, 4))
-    dynamic_sql = f"WITH {said}, lagged AS (SELECT doc_id // 100000 AS u, i, w, {lags} FROM word WINDOW s AS (PARTITION BY doc_id, sent ORDER BY i)) SELECT u AS user, n, gram, count(*) AS cnt FROM ({ends}) GROUP BY ALL"
-    lex = items
-    for name in ("canon", "marked", "found", "flat", "term", "kinds", "numbered", "spoken", "word"):
-        lex = lex.replace(f"{name} AS (", f"{name}_l AS (").replace(f"FROM {name})", f"FROM {name}_l)").replace(f"FROM {name} ", f"FROM {name}_l ")
-    totals = "SELECT n, count(*) AS unique_ngrams, sum(cnt)::BIGINT AS total_ngrams"
-    ranked_sql = f"""WITH {docs}{_grams_sql(2)}{_BIGRAMS}, {prompts}, asked AS ({asked}),
-need AS (SELECT DISTINCT context FROM asked),
-scored AS (SELECT need.context, uni.word, round(coalesce(big.f1, 0) + coalesce(bows.bow, 1) * f0, 10) AS score
-  FROM need CROSS JOIN uni LEFT JOIN bows ON bows.context = need.context LEFT JOIN big ON big.context = need.context AND big.word = uni.word
-  WHERE uni.word <> 'START' AND NOT starts_with(uni.word, chr(3))),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY context ORDER BY score DESC, word) AS rank FROM scored)"""
-    return {
-        "predict_exclude": f"{ranked_sql} SELECT doc_id AS prompt_id, rank - 2 AS rank, word, score FROM asked JOIN ranked USING (context) WHERE rank BETWEEN 3 AND 7",
-        "predict_completion": f"""WITH {docs}{_grams_sql(2)}{_BIGRAMS}, {prompts}, asked AS ({asked}),
-typed AS (SELECT doc_id, left(context, 2) AS prefix FROM asked WHERE length(context) >= 3 AND NOT starts_with(context, chr(3))),
-scored AS (SELECT prefix, uni.word, round(coalesce(f1, 0) + coalesce((SELECT bow FROM bows WHERE context = 'START'), 1) * f0, 10) AS score
-  FROM (SELECT DISTINCT prefix FROM typed) JOIN uni ON left(uni.word, 2) = prefix LEFT JOIN big ON big.context = 'START' AND big.word = uni.word
-  WHERE uni.word <> 'START' AND NOT starts_with(uni.word, chr(3))),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY score DESC, word) AS rank FROM scored)
-SELECT doc_id AS prompt_id, rank, word, score FROM typed JOIN ranked USING (prefix) WHERE rank <= 5""",
-        "case_stats": f"WITH {docs}, c AS ({words}) SELECT a.word, a.cnt AS upper, b.cnt AS lower, round(b.cnt / (a.cnt + b.cnt), 10) AS share FROM c a JOIN c b ON b.word = lower(a.word) WHERE regexp_matches(a.word, '^\\p{{Lu}}')",
-        "vocab_clean": f"""WITH {docs}, {lex}, c AS ({words}),
-lx AS (SELECT w AS word, count(*) / sum(count(*)) OVER () AS freq FROM word_l WHERE NOT starts_with(w, chr(3)) GROUP BY w),
-f AS (SELECT a.word, a.cnt, CASE WHEN b.cnt / (a.cnt + b.cnt) >= 0.35 THEN b.word ELSE a.word END AS form, CASE WHEN b.cnt / (a.cnt + b.cnt) >= 0.35 THEN b.cnt ELSE a.cnt END AS fc
-  FROM c a LEFT JOIN c b ON b.word = lower(a.word) AND regexp_matches(a.word, '^\\p{{Lu}}'))
-SELECT f.word, cnt, CASE WHEN x.freq IS NOT NULL OR fc > 20 THEN form
-  WHEN regexp_matches(form, '^\\p{{Lu}}') AND y.freq > 0 THEN CASE WHEN y.freq > 1e-8 THEN y.word ELSE form END
-  WHEN form <> lower(form) AND z.freq > 0 THEN CASE WHEN z.freq > 1e-8 THEN z.word ELSE form END END AS kept
-FROM f LEFT JOIN lx x ON x.word = form LEFT JOIN lx y ON y.word = lower(form[1]) || form[2:] LEFT JOIN lx z ON z.word = lower(form)""",
-        "word_ids": f"WITH {docs} SELECT word, cnt, 16 + row_number() OVER (ORDER BY cnt DESC, word) AS word_id FROM ({words})",
-        "user_words_valid": f"WITH {docs}, {prompts} SELECT u AS user, w AS word, count(*) AS cnt, count(*) >= 10 AS valid FROM (SELECT doc_id // 100000 AS u, w FROM word_p) WHERE NOT starts_with(w, chr(3)) AND length(w) > 2 AND w NOT IN (SELECT w FROM word) GROUP BY ALL",
-        "prune_raw_count": f"WITH {items}{_grams_sql(4)}{pruned.replace('{4}', '3').replace('{3}', '3').replace('{2}', '3')} SELECT * FROM kept",
-        "prune_order_count": f"WITH {docs}{_grams_sql(4)}{pruned.replace('{4}', '4').replace('{3}', '3').replace('{2}', '2')} {totals} FROM kept GROUP BY n",
-        "dynamic_counts": dynamic_sql,
-        "stream_dynamic_counts": dynamic_sql,
-        "model_roundtrip": f"WITH {items}{_grams_sql(4)} {totals} FROM grams GROUP BY n",
-        "tok_counts": f"SELECT doc_id, len(regexp_extract_all(t, '[^{SEP}]+')) AS words, len(regexp_extract_all(t, '[{SEP}]')) AS separators FROM (SELECT doc_id, {_CANON} AS t FROM documents)",
-        "tok_separator_hist": f"SELECT sep, count(*) AS n FROM (SELECT unnest(regexp_extract_all({_CANON}, '[{SEP}]')) AS sep FROM documents) GROUP BY sep",
-        "term_ec_counts": f"WITH {docs} SELECT kind, CASE kind WHEN 'PERCENT' THEN replace(replace(term, ' ', ''), '.', ',') WHEN 'DECIMAL' THEN replace(term, '.', ',') WHEN 'ACRONYM' THEN replace(term, '.', '') ELSE term END AS value, count(*) AS n FROM kinds WHERE kind <> 'SEPARATOR' GROUP BY ALL",
-        "sentence_stats": f"WITH {docs} SELECT doc_id, count(*) AS sentences, sum(n)::BIGINT AS words, max(n) AS longest FROM (SELECT doc_id, sent, count(*) AS n FROM word GROUP BY ALL) GROUP BY doc_id",
-        "start_end_until_separator": f"SELECT doc_id, regexp_extract(t, '^[^{SEP}]*') AS head, length(head) AS head_length, regexp_extract(t, '[^{SEP}]*\\z') AS tail, length(tail) AS tail_length FROM (SELECT doc_id, {_CANON} AS t FROM documents)",
-        "word_counts": f"WITH {docs} SELECT w AS word, count(*) AS cnt FROM word WHERE NOT starts_with(w, chr(3)) GROUP BY w",
-        "ngram_counts": f"WITH {items}{_grams_sql(4)} SELECT * FROM grams",
-        "ngram_totals": f"WITH {docs}{_grams_sql(4)} SELECT n, count(*) AS unique_ngrams, sum(cnt)::BIGINT AS total_ngrams FROM grams GROUP BY n",
-        "discount_by_order": f"WITH {docs}{_grams_sql(4)} SELECT n, n1, n2, round(d, 10) AS d FROM d",
-        "context_bow": f"WITH {docs}{_grams_sql(2)}{_BIGRAMS} SELECT context, total::BIGINT AS total, children, round(bow, 10) AS bow FROM bows",
-        "backoff_prob": f"WITH {items}{_grams_sql(2)}{_BIGRAMS} SELECT context, big.word, round(f1 + bow * f0, 10) AS p FROM big JOIN uni USING (word)",
-        "prob_sum_check": f"WITH {docs}{_grams_sql(2)}{_BIGRAMS} SELECT count(*) AS contexts, count(*) FILTER (abs(f - 1) < 1e-9) AS sum_to_one FROM (SELECT context, sum(f1) + any_value(bow) AS f FROM big GROUP BY context)",
-        "predict_bigram_top5": f"""WITH {docs}{_grams_sql(2)}{_BIGRAMS}, {prompts}, asked AS ({asked}),
-need AS (SELECT DISTINCT context FROM asked),
-scored AS (SELECT need.context, uni.word, round(coalesce(big.f1, 0) + coalesce(bows.bow, 1) * f0, 10) AS score
-  FROM need CROSS JOIN uni LEFT JOIN bows ON bows.context = need.context LEFT JOIN big ON big.context = need.context AND big.word = uni.word
-  WHERE uni.word <> 'START' AND NOT starts_with(uni.word, chr(3))),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY context ORDER BY score DESC, word) AS rank FROM scored)
-SELECT doc_id AS prompt_id, rank, word, score FROM asked JOIN ranked USING (context) WHERE rank <= 5""",
-        "fifo_distinct": "SELECT event_id, user_id, len(list_distinct(list(event_type) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW))) AS kinds FROM events",
-    }
+    return sql.oracle_sql()

@@ -1,16 +1,86 @@
-"""Model files: n-gram counts and the vocabulary as Parquet, partitioned by order."""
+"""Models as Parquet: the vocabulary, n-grams with their shares, contexts with their back-off weights; users' files."""
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wordloom.operators.vocabulary import changed, overlaid, predictable, prefixes, tuned
+from wordloom.session import durable
+
+
+@dataclass
+class Model:
+    """A trained model's tables. They are never changed: a user's words are put over them, dynamic counts beside them.
+
+    words (word_id, word, cnt, tuning), grams (n, w1.., cnt, prob), contexts (n, c1.., total, children, d, bow),
+    discounts (n, n1, n2, d), heads (prefix, word_id, word): what words begin with.
+    """
+
+    words: DataFrame
+    grams: DataFrame
+    contexts: DataFrame
+    discounts: DataFrame
+    heads: DataFrame
+    order: int
+    dictionary_id: str
+
+    def valid(self, least_uses: int = 10) -> DataFrame:
+        return self.words.where(predictable(least_uses))
+
+
+class DictionaryMismatch(ValueError):
+    """A user's file belongs to another vocabulary."""
+
 
+PARTS = ("grams", "contexts", "discounts", "heads")
 
-def save(grams: DataFrame, words: DataFrame, path: str, overwrite: bool = False) -> None:
+
+def save(words: DataFrame, grams: DataFrame, contexts: DataFrame, discounts: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Writes a model's tables; n-grams and contexts by order, sorted, so that a look-up reads few row groups."""
     mode = "overwrite" if overwrite else "errorifexists"
-    grams.write.mode(mode).partitionBy("n").parquet(f"{path}/ngrams")
-    words.write.mode(mode).parquet(f"{path}/words")
+    own = tuned(words).withColumn("dictionary_id", F.lit(uuid.uuid4().hex))
+    own.write.mode(mode).parquet(f"{path}/words")
+    prefixes(words).write.mode(mode).parquet(f"{path}/heads")
+    for name, df in (("grams", grams), ("contexts", contexts)):
+        cols = [c for c in df.columns if c[0] in "wc" and c[1:].isdigit()]
+        df.repartition("n", *cols[:2]).sortWithinPartitions("n", *cols).write.mode(mode).partitionBy("n").option("compression", "zstd").parquet(f"{path}/{name}")
+    discounts.write.mode(mode).parquet(f"{path}/discounts")
+
+
+def load(spark: SparkSession, path: str) -> Model:
+    """A saved model. Orders that a query doesn't use are not read."""
+    words = spark.read.parquet(f"{path}/words")
+    first = words.select("dictionary_id").first()
+    parts = {name: spark.read.parquet(f"{path}/{name}") for name in PARTS}
+    order = sum(c[0] == "w" and c[1:].isdigit() for c in parts["grams"].columns)
+    return Model(words.drop("dictionary_id"), parts["grams"], parts["contexts"], parts["discounts"], parts["heads"], order, first[0] if first else "")
+
+
+def save_user(words: DataFrame, dictionary_id: str, path: str, overwrite: bool = False) -> None:
+    """A user's words and changed tunings, with the id of the vocabulary that they belong to."""
+    changed(words).withColumn("dictionary_id", F.lit(dictionary_id)).write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
+
+
+def with_user(model: Model, user: DataFrame) -> Model:
+    """The model with a user's words over its own. A file of another vocabulary raises DictionaryMismatch."""
+    if "dictionary_id" in user.columns:
+        other = user.where(F.col("dictionary_id") != model.dictionary_id).first()
+        if other:
+            raise DictionaryMismatch(f"the file is of vocabulary {other.dictionary_id}, the model's is {model.dictionary_id}")
+        user = user.drop("dictionary_id")
+    words = durable(overlaid(model.words, user))
+    return Model(words, model.grams, model.contexts, model.discounts, durable(prefixes(words)), model.order, model.dictionary_id)
+
+
+def save_dynamic(grams: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Counts of what a user wrote; shares are found anew when they are read."""
+    grams.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("n").parquet(path)
 
 
-def load(spark: SparkSession, path: str, order: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(n-grams, words); orders that aren't wanted are not read."""
-    return spark.read.parquet(f"{path}/ngrams").where(f"n <= {order}"), spark.read.parquet(f"{path}/words")
+def save_meanings(rows: DataFrame, path: str, overwrite: bool = False) -> None:
+    """(word_id, vec, density)."""
+    rows.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
