@@ -33,3 +33,12 @@ def test_long_chain(spark):
     got = {r.turn: r for r in threaded(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert all(got[i].depth == i and got[i].root_turn == 0 for i in range(40))
     assert sorted(got, key=lambda i: got[i].path) == list(range(40))
+
+
+def test_wide_turns_and_ties(spark):
+    """Turns of any size sort as numbers; of equally long quoted passages the later source is answered."""
+    far = 1234567890123
+    rows = [(1, far, "u", "root", 0), (1, far + 1, "u", "> root\nyes", 0), (1, far + 2, "u", "> root\nno", 0), (1, -5, "u", "early", 0), (1, far + 3, "u", "> early\nlate", 0), (2, 1, "u", "aa", 0), (2, 2, "u", "bb", 0), (2, 3, "u", "> aa\nmine\n> bb", 0)]
+    got = {(r.conv_id, r.turn): r for r in threaded(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sorted((k for k in got if k[0] == 1), key=lambda k: got[k].path) == [(1, -5), (1, far + 3), (1, far), (1, far + 1), (1, far + 2)]
+    assert got[1, far + 3].depth == 1 and got[2, 3].parent_turn == 2

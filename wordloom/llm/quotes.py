@@ -4,7 +4,7 @@ A message's lines are parsed into quote levels; what stands without a quote mark
 Each run of lines of one level is a quoted passage; it, its paragraphs and its lines are normalised and
 hashed, and so is the own content of every message. The first message of a conversation with a passage
 as its own is the passage's original. A message replies to the original that the longest matched passage
-of its least quote level comes from. Replies are ordered below the message they answer by `path`, and
+of its least quote level comes from. Of equally long ones the later source counts. Replies are ordered below the message they answer by `path`, and
 what is left of a message has no quotes.
 
 Defined results. Hashes are joined within a conversation, and an original must stand before the quote.
@@ -28,8 +28,6 @@ from .common import durable, small_batches
 _MARK = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
 _WROTE = re.compile(r"^\s*(on\b.*\bwrote|le\b.*\ba écrit|am\b.*\bschrieb.*|el\b.*\bescribió)\s*:\s*$", re.IGNORECASE)
 _PARAGRAPH = re.compile(r"\n\s*\n")
-#: The most replies below one another that are followed; deeper ones raise an error.
-DEEPEST = 1 << 16
 
 
 def parsed(text: str) -> tuple[str, list[tuple[int, str]]]:
@@ -101,7 +99,9 @@ def threaded(rows: DataFrame) -> DataFrame:
     reply adds the path that its farthest known ancestor has found.
     """
     said = durable(messages(rows).withColumn("n_quotes", F.size("quotes").cast("long")))
-    label = lambda c: F.lpad(c.cast("string"), 12, "0")
+    # Sixteen hexadecimal digits that sort as the turns do, negative ones first. A reply's source stands before
+    # it, so that paths end however deep they are.
+    label = lambda c: F.lpad(F.hex(c.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
     up = durable(replies(said).select("conv_id", "turn", "parent_turn", F.col("parent_turn").alias("top"), F.lit(1).alias("depth"), label(F.col("turn")).alias("path")))
     while True:
         above = up.select("conv_id", F.col("turn").alias("top"), F.col("top").alias("next"), F.col("depth").alias("more"), F.col("path").alias("before"))
@@ -109,8 +109,6 @@ def threaded(rows: DataFrame) -> DataFrame:
         if joined.where("next is not null").isEmpty():
             break
         up = durable(joined.select("conv_id", "turn", "parent_turn", F.coalesce("next", "top").alias("top"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.when(F.col("before").isNotNull(), F.concat_ws("/", "before", "path")).otherwise(F.col("path")).alias("path")))
-        if (up.agg(F.max("depth")).first()[0] or 0) > DEEPEST:
-            raise RuntimeError("replies don't end")
     out = said.drop("own", "quotes").join(up, ["conv_id", "turn"], "left")
     return out.select(
         "conv_id", "turn", "role", "content", "parent_turn", F.coalesce("top", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).alias("depth"),
