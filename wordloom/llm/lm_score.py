@@ -85,24 +85,24 @@ def block_of(data: bytes):
 
 
 def _cut(words, buckets):
+    """The buckets that sorted words fall into, and the edges of these buckets in the words."""
     bucket = (((words >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
-    return np.searchsorted(bucket, np.arange(buckets + 1))
+    some, first = np.unique(bucket, return_index=True)
+    return some.tolist(), np.append(first, len(words))
 
 
 def asked(buckets: int):
     def one(block, data):
         _, _, words, at, train, pair, pair_at = block_of(data)
-        count = np.bincount(at, train, len(words)).astype(np.uint32)
-        pairs = np.bincount(pair_at, train, len(pair)).astype(np.uint32)
+        count = np.bincount(at, train, len(words)).astype(np.uint64)
+        pairs = np.bincount(pair_at, train, len(pair)).astype(np.uint64)
         context, word = pair // len(words), pair % len(words)
-        edge = _cut(words, buckets)
+        some, edge = _cut(words, buckets)
         pair_edge = np.searchsorted(context, edge)
         rows = []
-        for b in range(buckets):
-            i, j, k, m = edge[b], edge[b + 1], pair_edge[b], pair_edge[b + 1]
-            if i < j:
-                per = np.diff(np.searchsorted(context[k:m], np.arange(i, j + 1)))
-                rows.append((b, block, words[i:j].tobytes(), count[i:j].tobytes(), per.astype(np.uint32).tobytes(), _planes(words[word[k:m]]), _small(pairs[k:m])))
+        for b, i, j, k, m in zip(some, edge[:-1], edge[1:], pair_edge[:-1], pair_edge[1:], strict=True):
+            per = np.diff(np.searchsorted(context[k:m], np.arange(i, j + 1)))
+            rows.append((b, block, words[i:j].tobytes(), _small(count[i:j]), per.astype(np.uint32).tobytes(), _planes(words[word[k:m]]), _small(pairs[k:m])))
         cols = list(zip(*rows, strict=True))
         kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["bucket", "block", "words", "counts", "per", "next", "pairs"])
@@ -128,14 +128,14 @@ def _joined(data: bytes) -> np.ndarray:
 
 
 def _small(x: np.ndarray) -> bytes:
-    """Counts, mostly below 255, as a byte each; the others follow."""
+    """Counts, mostly below 255, as a byte each; the others follow in eight."""
     big = x >= 255
-    return np.where(big, 255, x).astype(np.uint8).tobytes() + x[big].astype(np.uint32).tobytes()
+    return np.where(big, 255, x).astype(np.uint8).tobytes() + x[big].astype(np.uint64).tobytes()
 
 
 def _large(data: bytes, n: int) -> np.ndarray:
     low = np.frombuffer(data, np.uint8, n).astype(np.int64)
-    low[low == 255] = np.frombuffer(data, np.uint32, offset=n)
+    low[low == 255] = np.frombuffer(data, np.uint64, offset=n)
     return low
 
 
@@ -145,7 +145,7 @@ def summed(table: pa.Table) -> pa.Table:
     words = [np.frombuffer(x, np.uint64) for x in col["words"]]
     per = [np.frombuffer(x, np.uint32) for x in col["per"]]
     every, index = np.unique(np.concatenate(words), return_inverse=True)
-    count = np.bincount(index, np.concatenate([np.frombuffer(x, np.uint32) for x in col["counts"]])).astype(np.int64)
+    count = np.bincount(index, np.concatenate([_large(x, len(w)) for x, w in zip(col["counts"], words, strict=True)])).astype(np.int64)
     nexts = np.concatenate([_joined(x) for x in col["next"]])
     context = index[np.repeat(np.arange(len(index)), np.concatenate(per))]
     own = np.concatenate([_large(x, len(y) // 6) for x, y in zip(col["pairs"], col["next"], strict=True)])
@@ -163,14 +163,14 @@ def summed(table: pa.Table) -> pa.Table:
     out, a, b = [], 0, 0
     for n, (x, p) in enumerate(zip(words, per, strict=True)):
         i, j = index[a : a + len(x)], pair_total[b : b + int(p.sum())]
-        out.append((blocks[n], table.column("bucket")[0].as_py(), count[i].astype(np.uint32).tobytes(), after[i].astype(np.uint32).tobytes(), followers[i].astype(np.uint32).tobytes(), _small(j), *(stats.tolist() if n == 0 else [0] * 4)))
+        out.append((blocks[n], table.column("bucket")[0].as_py(), len(i), _small(count[i]), _small(after[i]), _small(followers[i]), _small(j), *(stats.tolist() if n == 0 else [0] * 4)))
         a, b = a + len(x), b + len(j)
     cols = list(zip(*out, strict=True))
-    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4, *[pa.int64()] * 4]
-    return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["block", "bucket", "counts", "after", "followers", "pairs", "n", "v", "once", "twice"])
+    kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4, *[pa.int64()] * 4]
+    return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["block", "bucket", "size", "counts", "after", "followers", "pairs", "n", "v", "once", "twice"])
 
 
-ANSWER = "block long, bucket int, counts binary, after binary, followers binary, pairs binary, n long, v long, once long, twice long"
+ANSWER = "block long, bucket int, size int, counts binary, after binary, followers binary, pairs binary, n long, v long, once long, twice long"
 
 
 def traversed(n: int, v: int, discount: float):
@@ -179,11 +179,10 @@ def traversed(n: int, v: int, discount: float):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         table, offs, words, at, _, pair, pair_at = block_of(texts.column("data")[0].as_py())
         answers = answers.sort_by([("bucket", "ascending")])
-        count, after, followers = (np.concatenate([np.frombuffer(x, np.uint32) for x in answers.column(c).to_pylist()]).astype(np.float64) for c in ("counts", "after", "followers"))
+        count, after, followers = (np.concatenate([_large(x, k) for x, k in zip(answers.column(c).to_pylist(), answers.column("size").to_pylist(), strict=True)]).astype(np.float64) for c in ("counts", "after", "followers"))
         # The pairs of a bucket are those of its words, in order.
         sizes, raw, context = [], answers.column("pairs").to_pylist(), pair // len(words)
-        lens = [len(x) // 4 for x in answers.column("counts").to_pylist()]
-        edge = np.searchsorted(context, np.concatenate([[0], np.cumsum(lens)]))
+        edge = np.searchsorted(context, np.concatenate([[0], np.cumsum(answers.column("size").to_pylist())]))
         sizes = np.diff(edge)
         pairs = np.concatenate([_large(x, int(k)) for x, k in zip(raw, sizes, strict=True)]).astype(np.float64)
         root = (count + 0.5) / (n + 0.5 * (v + 1))
@@ -213,7 +212,6 @@ def scores(docs: DataFrame, held_out) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     blocks = durable(rows.mapInArrow(gathered, "block long, data binary").withColumn("block", F.xxhash64("block", F.monotonically_increasing_id())))
     buckets = max(partitions(spark), blocks.count())
-    small_batches(spark, 1)
     questions = blocks.mapInArrow(asked(buckets), "bucket int, block long, words binary, counts binary, per binary, next binary, pairs binary")
     answers = durable(questions.groupBy("bucket").applyInArrow(summed, ANSWER))
     del questions
