@@ -35,8 +35,9 @@ FEATURES = 4096
 STEPS, PENALTY = 150, 1e-4
 #: Difference in loss for each bit under which the two best languages count as ambiguous.
 MARGIN = 0.05
-#: recognised() drops documents that are `und`, and ambiguous ones with a lower score than this.
-LEAST_SCORE = 0.3
+#: recognised() drops documents that are `und`, and ambiguous ones whose score is lower than so many times
+#: that of an even guess among the learned languages.
+LEAST_TIMES = 1.2
 
 _MAP = np.full(256, 32, dtype=np.uint8)
 _MAP[97:123] = np.arange(97, 123)
@@ -229,7 +230,8 @@ def recognised(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches):
         for batch in batches:
             lang, score, unsure = predict_batch(model, batch.column(batch.schema.get_field_index("text")))
-            keep = [x != "und" and not (u and s < LEAST_SCORE) for x, s, u in zip(lang, score, unsure, strict=True)]
+            least = LEAST_TIMES / max(1, len(model.languages) if model else 1)
+            keep = [x != "und" and not (u and s < least) for x, s, u in zip(lang, score, unsure, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
