@@ -1,6 +1,7 @@
 """Toxicity by multiple-instance learning: sentences are scored, documents are labelled.
 
-A sentence's probability is logistic in its words; a document's is the noisy-or of its sentences, one
+A sentence's probability is logistic in its words, whose weights are not negative: no number of harmless
+words makes up for an offending one; a document's is the noisy-or of its sentences, one
 minus the product of their complements. Weights are fitted to document labels through that noisy-or, so
 that only sentences that explain a label get a high score; those are the ones that located() returns.
 
@@ -40,7 +41,7 @@ _STOP[[10, 13, 33, 46, 63]] = True
 def features(buf: np.ndarray, offs: np.ndarray):
     """Features of each word, the sentence it is in (numbered through), the text of each sentence, word spans."""
     starts, ends, at = bounds(buf, offs, _GAP)
-    feature = np.stack([hashes(buf, starts, np.minimum(starts + k, ends) if k else ends) + np.uint64(k << 40) * np.uint64(0x9E3779B97F4A7C15) for k in HEADS], axis=1)
+    feature = np.stack([hashes(buf, starts, np.minimum(starts + k, ends) if k else ends) + np.uint64(((k << 40) * 0x9E3779B97F4A7C15) % (1 << 64)) for k in HEADS], axis=1)
     feature = (feature >> np.uint64(64 - FEATURE_BITS)).astype(np.int32)
     stops = np.concatenate([[0], np.cumsum(_STOP[buf])]) if len(buf) else np.zeros(1, int)
     text = np.repeat(np.arange(len(offs) - 1), np.diff(at))
@@ -65,40 +66,42 @@ def _sigmoid(z):
 
 def fit(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> Model:
     """docs: features, a row for each word, and sentence numbers of each document."""
-    docs = [(f.ravel(), np.repeat(s, f.shape[1])) for f, s in docs]
     size = 1 << FEATURE_BITS
     seen = np.zeros((2, size))
     for (f, _), label in zip(docs, y, strict=True):
         seen[label, np.unique(f)] += 1
     used = np.flatnonzero(seen.sum(0) >= LEAST_DOCS)
-    place = np.full(size, -1)
-    place[used] = np.arange(len(used))
+    place = np.full(size, -1, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
     n = np.maximum(np.bincount(y, minlength=2), 1)
     odds = np.log((seen[1, used] + 0.5) / (n[1] + 1)) - np.log((seen[0, used] + 0.5) / (n[0] + 1))
-    feature, sentence, doc, top = [], [], [], 0
-    for d, (f, s) in enumerate(docs):
-        ok = place[f] >= 0
-        feature.append(place[f][ok])
-        sentence.append(s[ok] + top)
+    feature, sentence, doc, top, count = [], [], [], 0, len(docs)
+    for d in range(count):
+        f, s = docs[d]
+        docs[d] = None  # what follows takes its place in memory
+        own = place[f]
+        ok = own >= 0
+        feature.append(own[ok])
+        sentence.append(np.broadcast_to((s + top).astype(np.int32)[:, None], own.shape)[ok])
         own = int(s.max()) + 1 if len(s) else 0
         doc.append(np.full(own, d))
         top += own
     feature, sentence, doc = map(np.concatenate, (feature, sentence, doc))
-    w, b = np.where(np.abs(odds) > 1.5, odds, 0.0) * 0.3, -5.0
+    w, b = np.where(odds > 1.5, odds, 0.0) * 0.3, -5.0
     share = (0.5 / n)[y]
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for step in range(1, STEPS + 1):
         z = b + np.bincount(sentence, w[feature], top)
         p = _sigmoid(z)
-        q = np.bincount(doc, -np.logaddexp(0, z), len(docs))
+        q = np.bincount(doc, -np.logaddexp(0, z), count)
         ratio = np.where(y == 1, -1 / np.expm1(np.clip(-q, 1e-9, 50)), 1.0)  # e^q / (1 - e^q), negated, for label 1
         g = (share * np.where(y == 1, np.maximum(ratio, -50), 1.0))[doc] * p
-        gw = np.bincount(feature, g[sentence], len(used)) + PENALTY * np.sign(w) * 0.1 + PENALTY * w
+        gw = np.bincount(feature, g[sentence], len(used)) + PENALTY * (1 + w)
         gb = g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
         fix = np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
-        w = w - RATE * fix * m / (np.sqrt(v) + 1e-6)
+        w = np.maximum(0.0, w - RATE * fix * m / (np.sqrt(v) + 1e-6))
         b = min(-1.0, b - RATE * fix * mb / (np.sqrt(vb) + 1e-6))
     weights = np.zeros(size)
     weights[used] = w
