@@ -125,3 +125,33 @@ def test_borderline_pairs_that_share_a_passage(spark, own):
         rows += [(i, " ".join(a)), (i + 1, " ".join(a[: len(a) - cut] + [f"b{i}_{k}" for k in range(cut)]))]
     r.shuffle(rows)
     assert got(spark, rows) == brute(rows)
+
+
+def test_null_and_repeated_ids(spark):
+    """A chain of near copies holds together where its middle text has no id, or one that others have."""
+    w = [f"w{k}" for k in range(60)]
+    chain = [" ".join(w), " ".join(w[:-5] + [f"a{k}" for k in range(5)]), " ".join(w[5:-5] + [f"a{k}" for k in range(5)] + ["z"] * 2)]
+    sets = [{tuple(x.split()[k : k + 5]) for k in range(len(x.split()) - 4)} for x in chain]
+    near = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    assert near(sets[0], sets[1]) and near(sets[1], sets[2]) and not near(sets[0], sets[2])
+    for middle in (None, 9):
+        rows = [(4, chain[0]), (middle, chain[1]), (7, chain[2]), (9, "q r s t u v"), (9, "q r s t u v"), (None, "other words here"), (None, None)]
+        n = [len({tuple(x.split()[k : k + 5]) for k in range(len(x.split()) - 4)}) for x in chain]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        found = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in similar_groups(df).collect()), key=str)
+        assert found == sorted([(4, n[0], 4), (middle, n[1], 4), (7, n[2], 4), (9, 2, 9), (9, 2, 9), (None, 1, None), (None, 0, None)], key=str)
+
+
+def test_families_that_share_a_passage(spark):
+    """Families of unlike texts with a common passage of 6 to 9 words, and in each one pair that just links."""
+    r = random.Random(8)
+    rows = []
+    for f in range(60):
+        size, passage = r.choice([8, 21, 23, 24, 30, 44]), [f"f{f}p{k}" for k in range(r.randint(6, 9))]
+        for _ in range(40):
+            rows.append((len(rows), " ".join(passage + [f"u{r.randrange(10**8)}" for _ in range(max(1, size + 4 - len(passage)))])))
+        a = passage + [f"f{f}a{k}" for k in range(max(1, size + 4 - len(passage)))]
+        n = len(a) - 4
+        cut = max(c for c in range(n) if 100 * (n - c) >= 75 * (n + c))
+        rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(a[: len(a) - cut] + [f"f{f}b{k}" for k in range(cut)]))]
+    assert got(spark, rows) == brute(rows)

@@ -139,17 +139,22 @@ def _signed(x) -> pa.Array:
     return pa.array(np.asarray(x, dtype=np.uint64).view(np.int64))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text): row is a hash of both, which names a row whose id is null as well."""
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
+
+
 def classes(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, cls, n_shingles) of each row; cls is null where the text has no words."""
+    """(row, doc_id, cls, n_shingles) of each row; cls is null where the text has no words."""
 
     def run(batches):
         for batch in batches:
-            found = [(same, len(s)) for _, same, s in sets_of(batch.column(1), width)]
+            found = [(same, len(s)) for _, same, s in sets_of(batch.column(2), width)]
             cls = np.array([x for x, _ in found], dtype=np.uint64).view(np.int64)
             n = np.array([x for _, x in found], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, mask=n == 0), pa.array(n)], ["doc_id", "cls", "n_shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cls, mask=n == 0), pa.array(n)], ["row", "doc_id", "cls", "n_shingles"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, cls long, n_shingles long")
+    return keyed(docs).mapInArrow(run, "row long, doc_id long, cls long, n_shingles long")
 
 
 def packed(keys: np.ndarray) -> bytes:
@@ -168,8 +173,9 @@ BUCKETS = "bucket int, keys binary, units binary, who binary, cls binary, facts
 
 
 def _dealt(keys, units, who, cls, facts, buckets):
-    """A block's keys as one packed row for each bucket. Keys that many classes of the block have are hot
-    already: one of them goes out, marked by units of 0, and the others' units are summed here."""
+    """A block's keys as a packed row for each bucket that has some, so no more rows than keys. Keys that many
+    classes of the block have are hot already: one of them goes out, marked by units of 0, and the others'
+    units are summed here."""
     keys = keys & np.uint64(0xFFFFFFFFFFFF0000)  # as they travel
     order = np.argsort(keys, kind="stable")
     keys, units, who = keys[order], units[order], who[order]
@@ -182,18 +188,17 @@ def _dealt(keys, units, who, cls, facts, buckets):
     units = np.where(hot, 0, units)
     keys, units, who = keys[keep], units[keep], who[keep]
     bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    edge = np.searchsorted(bucket, np.arange(buckets + 1))
+    some, first = np.unique(bucket, return_index=True)
     rows = []
-    for b in range(buckets):
-        i, j = edge[b], edge[b + 1]
-        if i < j:
-            there, at = np.unique(who[i:j], return_inverse=True)
-            rows.append((b, packed(keys[i:j]), units[i:j].astype(np.uint8).tobytes(), at.astype(np.uint16).tobytes(), cls[there].tobytes(), facts[there].tobytes()))
+    for b, i, j in zip(some.tolist(), first, np.append(first[1:], len(keys)), strict=True):
+        there, at = np.unique(who[i:j], return_inverse=True)
+        rows.append((b, packed(keys[i:j]), units[i:j].astype(np.uint8).tobytes(), at.astype(np.uint16).tobytes(), cls[there].tobytes(), facts[there].tobytes()))
     return rows, local
 
 
-def _hot_rows(cls, units, facts):
-    return (-1, b"", units.astype(np.int64).tobytes(), b"", cls.tobytes(), facts.tobytes())
+def _hot_rows(cls, units, facts, buckets):
+    """Units that hot keys take of a block's classes; blocks are dealt over buckets below zero."""
+    return (-1 - int(cls[0]) % buckets, b"", units.astype(np.int64).tobytes(), b"", cls.tobytes(), facts.tobytes())
 
 
 def _batch_of(rows):
@@ -213,7 +218,7 @@ def _blocks(items, keys_of, buckets):
         rows, local = _dealt(keys, units, who, cls, facts, buckets)
         local[facts[:, 2] <= 0] += 1 << 30
         if local.any():
-            rows.append(_hot_rows(cls[local > 0], local[local > 0], facts[local > 0]))
+            rows.append(_hot_rows(cls[local > 0], local[local > 0], facts[local > 0], buckets))
         for i in range(0, len(rows), 64):
             yield _batch_of(rows[i : i + 64])
 
@@ -338,14 +343,14 @@ def candidates(blocks: DataFrame, single: bool) -> tuple[DataFrame, DataFrame]:
 
 
 def stored_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(cls, shingles) of wanted (doc_id) rows, read from their texts again."""
+    """(cls, shingles) of wanted (row) rows, read from their texts again."""
 
     def run(batches):
         for batch in batches:
             found = [(same, s) for _, same, s in sets_of(batch.column(0), width)]
             yield pa.RecordBatch.from_arrays([_signed([x for x, _ in found]), pa.array([packed(s) for _, s in found], pa.binary())], ["cls", "shingles"])
 
-    rows = rows_of(docs.selectExpr("cast(doc_id as long) doc_id", "text"), "doc_id", wanted).dropDuplicates(["doc_id", "text"])
+    rows = rows_of(keyed(docs), "row", wanted).dropDuplicates(["row", "text"])
     return durable(rows.select("text").mapInArrow(run, "cls long, shingles binary"))
 
 
@@ -500,9 +505,9 @@ def linked_classes(docs: DataFrame, slim: DataFrame, width: int = WIDTH) -> Data
     pairs, hot = candidates(texts.mapInArrow(sign, BUCKETS), False)
     pairs = durable(pairs)
     release(spark)
-    reps = slim.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    reps = slim.where("cls is not null").groupBy("cls").agg(F.min("row").alias("row"))
     touched = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).union(hot.select("cls")).distinct()
-    sets = stored_sets(docs, durable(reps.join(touched, "cls", "left_semi").select("doc_id")), width)
+    sets = stored_sets(docs, durable(reps.join(touched, "cls", "left_semi").select("row")), width)
     release(spark)
     links = []
     if not hot.isEmpty():
