@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_right
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,8 @@ NEAR = 0.75
 FEW = 16
 #: Shingles whose signatures are dealt out together, and bytes of signatures aimed at for a bucket.
 BLOCK, BUCKET_BYTES = 1_500_000, 8 << 20
+#: Signatures are dealt out in so many turns, by a bit of each, so that their shuffle files take that much less disk.
+TURNS = 2
 
 #: Families of near copies: pivots and rounds of comparing with them, and members of a block after that.
 PIVOTS, ROUNDS, SIDE = 4, 2, 512
@@ -236,7 +238,8 @@ def _blocks(items, keys_of, buckets):
         yield from flush()
 
 
-def signature_keys(s: np.ndarray):
+def signature_keys(s: np.ndarray, turn: int | None = None):
+    """A set's signatures, their units and its facts; those of one turn only, with the same facts, where it is given."""
     keys, units, facts = [], [], None
     for w in windows_of(len(s)):
         k, u, weak = signatures(s, w)
@@ -244,7 +247,11 @@ def signature_keys(s: np.ndarray):
         keys.append(k)
         units.append(u)
         facts = (len(s), weak, total - h - weak) if facts is None else (*facts[:2], min(facts[2], total - h - weak))
-    return np.concatenate(keys), np.concatenate(units), facts
+    keys, units = np.concatenate(keys), np.concatenate(units)
+    if turn is not None:
+        own = (keys >> np.uint64(16)) % np.uint64(TURNS) == turn
+        keys, units = keys[own], units[own]
+    return keys, units, facts
 
 
 def shingle_keys(s: np.ndarray):
@@ -322,11 +329,19 @@ def _matched(single: bool):
     return run
 
 
-def candidates(blocks: DataFrame, single: bool) -> tuple[DataFrame, DataFrame]:
-    """(a, b) that share enough, and (cls, hot, size) of the classes that hot keys could hide links of."""
+def candidates(turns: list[DataFrame], single: bool) -> tuple[DataFrame, DataFrame]:
+    """(a, b) that share enough, and (cls, hot, size) of the classes that hot keys could hide links of.
+
+    Each turn's keys are matched by themselves; units are summed over all of them.
+    """
+    matched = []
+    for blocks in turns:
+        matched.append(blocks.groupBy("bucket").applyInArrow(_matched(single), FOUND).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need"), F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b")))
+        if len(turns) > 1:
+            matched[-1] = durable(matched[-1])
+            release(blocks.sparkSession)
     found = durable(
-        blocks.groupBy("bucket")
-        .applyInArrow(_matched(single), FOUND)
+        reduce(DataFrame.union, matched)
         .groupBy("a", "b")
         .agg(F.sum("shared").alias("shared"), F.max("need").alias("need"), F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b"))
     )
@@ -499,10 +514,13 @@ def linked_classes(docs: DataFrame, slim: DataFrame, width: int = WIDTH) -> Data
     buckets = _buckets(spark, total)
     texts = docs.select("text")
 
-    def sign(batches):
-        yield from _blocks(((same, s) for batch in batches for _, same, s in sets_of(batch.column(0), width)), signature_keys, buckets)
+    def sign(turn):
+        def run(batches):
+            yield from _blocks(((same, s) for batch in batches for _, same, s in sets_of(batch.column(0), width)), lambda s: signature_keys(s, turn), buckets)
+
+        return run
 
-    pairs, hot = candidates(texts.mapInArrow(sign, BUCKETS), False)
+    pairs, hot = candidates([texts.mapInArrow(sign(turn), BUCKETS) for turn in range(TURNS)], False)
     pairs = durable(pairs)
     release(spark)
     reps = slim.where("cls is not null").groupBy("cls").agg(F.min("row").alias("row"))
@@ -517,7 +535,7 @@ def linked_classes(docs: DataFrame, slim: DataFrame, width: int = WIDTH) -> Data
             items = ((c, unpacked(s.as_buffer())) for batch in batches for c, s in zip(batch.column(0).to_numpy().view(np.uint64).tolist(), batch.column(1), strict=True))
             yield from _blocks(items, shingle_keys, buckets)
 
-        more, hotter = candidates(of_hot.mapInArrow(single, BUCKETS), True)
+        more, hotter = candidates([of_hot.mapInArrow(single, BUCKETS)], True)
         pairs = durable(pairs.union(more))
         release(spark)
         deep = durable(hotter.where("hot >= need").select("cls").distinct())
