@@ -61,6 +61,36 @@ def test_sentences_keep_control_characters(spark):
     assert [r.said for r in T.sentences(df.where("doc_id = 2"), ended=True).collect()] == [[["Un", "deux"]]]
 
 
+HARD = [
+    "73% 8,25 % x 8.25 %a 104.33b", "l’arbre A.B.C. A.B.C.. B.C É.A. A.b", "va-t-on u-v- 7x% 50%% Aujourd'hui aujourd'huix", "", None, "1.2.3 1,2,3 1.2% 12 3% 5.% 5,", "  ..\n", "ab\x01cd ef\x02gh. \x03ij k\u0085l\x0bm",
+    "\U0001d400.\U0001d401 X", "t3 3t 3 t <PERCENT> 50\n% 4 %", "a'b' 'c 5' 5-6 x-1 3.\n4", "\ufeffAb. \ufeffcd\n\ufeffEf\r\nGh\r", "x٣ ٣ ٣% Straße İx. İstanbul ǅe", " " * 3000 + "a" + " ." * 500,
+]
+
+
+def test_whole_texts_give_the_sentences_of_their_terms(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(HARD)], "doc_id long, text string").unionByName(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))
+    want = T.sentences(df).select("doc_id", "n_terms", F.posexplode("said").alias("sent", "s")).select("doc_id", "n_terms", "sent", T.normal(F.col("s")).alias("words"))
+    got = T.spoken(df)
+    assert "transform(" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert want.exceptAll(got).isEmpty() and got.exceptAll(want).isEmpty()
+
+
+def test_longest_ngrams_and_ids_need_no_shuffle(spark):
+    said = spark.createDataFrame([(9, ["a", "zz", "b"]), (9, ["b", "a", "b", "a", "<INTEGER>"]), (1, ["a"]), (9, ["zz"])], "n_terms int, words array<string>")
+    ids = spark.createDataFrame([("a", 17), ("b", 18), ("<INTEGER>", 9)], "word string, word_id int")
+    found = N.encoded(said, ids)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.ids for r in found.collect()) == [[16], [17, 16, 18], [18, 17, 18, 17, 9]]
+    got = {tuple(w for w in r[1:5] if w != NONE): r.cnt for r in N.counts(found).collect()}
+    want = {}
+    for s in ([15, 17], [15], [15, 18, 17, 18, 17, 9], [18]):
+        for i in range(len(s)):
+            for k in range(1, 5):
+                if i + k <= len(s):
+                    want[tuple(s[i : i + k])] = want.get(tuple(s[i : i + k]), 0) + 1
+    assert got == want
+
+
 def test_strings(spark):
     df = spark.createDataFrame([("ßa", "É", ""), ("élan", "éLAN", "l"), (None, None, "a")], "a string, b string, c string")
     a, b, c = F.col("a"), F.col("b"), F.col("c")
