@@ -91,6 +91,13 @@ def test_longest_ngrams_and_ids_need_no_shuffle(spark):
     assert got == want
 
 
+def test_queries_train_no_further_than_they_need(spark, tmp_path):
+    small = f"file://{SF}"
+    registry.case_stats(spark, small).collect()
+    at, done = registry._TRAINED[spark.sparkContext.applicationId, small]
+    assert done == training.STAGES.index("counts") and not os.path.exists(f"{at}/words")
+
+
 def test_strings(spark):
     df = spark.createDataFrame([("ßa", "É", ""), ("élan", "éLAN", "l"), (None, None, "a")], "a string, b string, c string")
     a, b, c = F.col("a"), F.col("b"), F.col("c")
