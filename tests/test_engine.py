@@ -4,6 +4,8 @@ import os
 import re
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -336,6 +338,30 @@ def test_meanings(spark):
     assert dense[0].density == 0.0
 
 
+def test_texts_are_read_for_meanings_without_a_row_for_each_term(spark):
+    """Windows over random ids by brute force; texts that are empty, of separators alone or shorter than half a window."""
+    docs = spark.createDataFrame([(1, "Chat noir.")], "doc_id long, text string")
+    assert M.positions(docs).columns == ["m"] and "transform(" not in M.positions(docs)._jdf.queryExecution().optimizedPlan().toString().lower()
+    rng = np.random.default_rng(3)
+    texts = [[], [-2, -2], [20], *(rng.choice([-2, -1, 17, 18, 19, 20], size=int(n)).tolist() for n in rng.integers(0, 30, 40))]
+    ids, row, col = np.array([17, 18, 20]), np.array([2, 0, 1]), np.array([-1, 0, 1])
+    of = {int(i): (int(r), int(c)) for i, r, c in zip(ids, row, col, strict=True)}
+    for half in (1, 3):
+        want = {}
+        for t in texts:
+            places = [i for i, x in enumerate(t) if x != -2]
+            for k, i in enumerate(places):
+                if k + half < len(places) and t[i] in of:
+                    end = k + half
+                    weight = (places[end + 1] if end + 1 < len(places) else len(t)) - places[end]
+                    for j in (j for n, j in enumerate(places) if n != k and abs(n - k) <= half and t[j] in of):
+                        for a, b in ((t[i], t[j]), (t[j], t[i])):
+                            if of[b][1] >= 0:
+                                want[of[a][0], of[b][1]] = want.get((of[a][0], of[b][1]), 0) + weight
+        r, c, v = M._near(pa.array(texts, pa.list_(pa.int32())), half, ids, row, col)
+        assert {(int(x), int(y)): int(z) for x, y, z in zip(r, c, v, strict=True)} == want
+
+
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_as_sql(spark, name):
     df = registry.queries()[name](spark, SF)
