@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from wordloom.llm.jaccard_join import WINDOWS, allocation, cells_of, largest_partner, least_apart, most_apart, one_of_each, signature_keys, similar_groups
+from wordloom.llm.jaccard_join import TURNS, WINDOWS, _blocks, allocation, cells_of, largest_partner, least_apart, most_apart, one_of_each, signature_keys, similar_groups
 
 
 def words(text):
@@ -155,3 +155,13 @@ def test_families_that_share_a_passage(spark):
         cut = max(c for c in range(n) if 100 * (n - c) >= 75 * (n + c))
         rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(a[: len(a) - cut] + [f"f{f}b{k}" for k in range(cut)]))]
     assert got(spark, rows) == brute(rows)
+
+
+def test_blocks_without_keys_in_a_turn(spark):
+    """A block of one small set has keys in some of the turns only; all of them go out over the turns."""
+    for x in range(1, 60):
+        s = np.array([x * 0x9E3779B97F4A7C15 % 2**64], np.uint64)
+        sent = [sum(len(k) // 6 for b in _blocks([(x, s)], lambda s, t=t: signature_keys(s, t), 7) for k in b.column("keys").to_pylist()) for t in range(TURNS)]
+        assert sum(sent) == len(np.unique(signature_keys(s)[0]))
+    rows = [(k, f"w{k}") for k in range(9)] + [(9, "w1"), (10, "w1 w2")]
+    assert got(spark, rows) == brute(rows)

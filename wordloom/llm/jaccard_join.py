@@ -178,10 +178,12 @@ def _dealt(keys, units, who, cls, facts, buckets):
     """A block's keys as a packed row for each bucket that has some, so no more rows than keys. Keys that many
     classes of the block have are hot already: one of them goes out, marked by units of 0, and the others'
     units are summed here."""
+    if not len(keys):  # a turn that has none of a small block's
+        return [], np.zeros(len(cls), np.int64)
     keys = keys & np.uint64(0xFFFFFFFFFFFF0000)  # as they travel
     order = np.argsort(keys, kind="stable")
     keys, units, who = keys[order], units[order], who[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     count = np.diff(np.append(first, len(keys)))
     hot = np.repeat(count > FEW, count)
     local = np.bincount(who[hot], units[hot], len(cls)).astype(np.int64)
