@@ -42,8 +42,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds the token ids of each text and, decoding them, whether they give the text back."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    back = bpe.decoded(bpe.encoded(docs, path, pattern), path, pattern)
-    return back.withColumn("intact", F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")).drop("decoded")
+    return bpe.encoded(docs, path, pattern, back=True)
 
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("mix", mix), ("tokenise", tokenise)]

@@ -9,6 +9,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from wordloom.llm.bpe import Vocabulary, decoded, digests, encoded, read_ranks
 
 PATH = P.path("byte_bpe_50k.tiktoken")
@@ -49,3 +50,15 @@ def test_tables(spark, rows):
     back = decoded(encoded(df, PATH, P.PATTERN), PATH, P.PATTERN)
     assert back.columns == ["doc_id", "text", "extra", "n_tokens", "token_ids", "decoded"]
     assert sorted((r.doc_id, bytes(r.decoded).decode()) for r in back.collect() if r.doc_id) == sorted((i, t or "") for i, t in rows if i)
+
+
+def test_decoding_takes_no_second_worker(spark):
+    """Encoding and checking what the ids give back is one step, so that a task has one vocabulary in memory."""
+    rows = [(1, "Hello wörld"), (2, None), (3, ""), (4, "again\x00 \U0001f600")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, intact string")
+    out = corpus_pipeline.tokenise(spark, df, "")
+    assert out.columns == ["doc_id", "text", "n_tokens", "token_ids", "intact"]
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = {r.doc_id: (r.n_tokens, bytes(r.token_ids), r.intact) for r in out.collect()}
+    want = {i: LIBRARY.encode_ordinary(t or "") for i, t in rows}
+    assert got == {i: (len(x), np.array(x, "<u4").tobytes(), True) for i, x in want.items()}

@@ -173,20 +173,28 @@ def _blocks(texts: list[str], most: int = CORPUS_BYTES):
         yield some
 
 
-def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """docs with `n_tokens` long and `token_ids` binary; columns of these names are replaced."""
+def encoded(docs: DataFrame, path: str, pattern: str, back: bool = False) -> DataFrame:
+    """docs with `n_tokens` long and `token_ids` binary; columns of these names are replaced.
+
+    With `back` also `intact` boolean: whether the ids, decoded, give the text's bytes. The worker that encodes
+    decodes as well, so that a task has one vocabulary in memory.
+    """
     small_batches(docs.sparkSession, 2048)
     ranks = read_ranks(path)
-    docs = docs.drop("n_tokens", "token_ids")
+    more = ["n_tokens long", "token_ids binary"] + ["intact boolean"] * back
+    docs = docs.drop(*[x.split()[0] for x in more])
 
     def run(batches):
         vocabulary = _vocabulary(ranks, pattern)
         for batch in batches:
             texts = [x or "" for x in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             ids = [x for some in _blocks(texts) for x in vocabulary.encode(some)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], [*batch.schema.names, "n_tokens", "token_ids"])
+            columns = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+            if back:
+                columns.append(pa.array([vocabulary.decode(x) == text.encode() for x, text in zip(ids, texts, strict=True)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *[x.split()[0] for x in more]])
 
-    return docs.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["n_tokens long", "token_ids binary"]))
+    return docs.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + more))
 
 
 def decoded(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
