@@ -1,6 +1,7 @@
 import json
 import math
 import os
+import random
 import re
 
 import duckdb
@@ -156,6 +157,46 @@ def test_pruning(spark):
     assert all(r.cnt >= 3 or (r.n == 3 and (r.w1, r.w2, r.w3) in heads) or r.n < 3 for r in kept)
 
 
+def test_one_shuffle_finds_shares_and_contexts(spark):
+    """Shares and contexts in one turn are those of two, however the rows of a context fall into batches."""
+    r = random.Random(4)
+    said = [[r.choice([17, 17, 18, 19, 20 + r.randrange(40)]) for _ in range(r.randint(1, 9))] for _ in range(400)]
+    grams = N.counts(spark.createDataFrame([(x,) for x in said], "ids array<int>"))
+    d = N.discounts(grams)
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        freq, of = (sorted(map(tuple, df.collect())) for df in N.modelled(grams, d))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    want = N.contexts(grams, d)
+    assert of == sorted(map(tuple, want.collect()))
+    bow = {tuple(x[:4]): x.bow for x in want.collect()}
+    assert freq == sorted((*x, bow[(x.n, *(x[k] if x.n > k else NONE for k in (1, 2, 3)))]) for x in N.probabilities(grams, want).collect())
+    table, _ = N.modelled(grams, d)
+    once = {tuple(x[:5]): x.p for x in N.backed_off(table, want).collect()}
+    assert once == {tuple(x[:5]): x.p for x in N.backed_off(N.probabilities(grams, want), want).collect()}
+    assert N.modelled(grams.where("n > 9"), d)[0].count() == 0
+
+
+@pytest.mark.parametrize("raw", [False, True])
+def test_difference_pruning_is_that_of_one_order_after_the_other(spark, raw):
+    r = random.Random(5)
+    said = [[17 + min(r.randrange(12), r.randrange(12)) for _ in range(r.randint(1, 7))] for _ in range(300)]
+    grams = N.counts(spark.createDataFrame([(x,) for x in said], "ids array<int>"))
+    left = {tuple(x[:5]): x.cnt for x in grams.collect()}
+    want = spark.createDataFrame([(*k, c) for k, c in left.items()], grams.schema)
+    for n in (4, 3, 2):
+        of = N.contexts(want, N.discounts(want))
+        freq = N.probabilities(want, of)
+        p = {tuple(x[:5]): x.prob if raw else x.p for x in (freq if raw else N.backed_off(freq, of, upto=n)).collect()}
+        q = {k: p[(n - 1, *k[2 : n + 1], *[NONE] * (5 - n))] for k in p if k[0] == n}
+        gone = {k[1 : n + 1] for k in q if p[k] > 0 and q[k] > 0 and p[k] * math.log(p[k] / q[k]) <= 0.002}
+        left = {k: c for k, c in left.items() if k[0] < n or k[1 : n + 1] not in gone}
+        want = spark.createDataFrame([(*k, c) for k, c in left.items()], grams.schema)
+    assert 0 < len(left) < grams.count() and {tuple(x[:5]): x.cnt for x in by_difference(grams, 0.002, raw).collect()} == left
+
+
 def test_training_settings_stages_and_files(spark, tmp_path):
     seen = []
     how = Training(valid_from=0, pruning="order_count", least=[-1, 2, 2, 2])
