@@ -347,6 +347,33 @@ def test_corrections(spark):
     assert sorted((r.error, r.replacement) for r in twice.collect()) == [("a", "b"), ("b", "a")]
 
 
+def test_shares_of_what_is_asked(spark, talk):
+    """Counts alone give what the whole model gives, also where pairs of words and words that follow nothing are rated."""
+    grams = talk.grams.select("n", "w1", "w2", "w3", "w4", "cnt")
+    lean = model.counted(talk.words.select("word", "cnt", "word_id"), grams, talk.discounts)
+    asked = grams.where("n = 3").select(*[F.col(f"w{k}").alias(f"c{k}") for k in (1, 2, 3)]).unionByName(spark.createDataFrame([(15, 15, 15), (NONE, 16, 17)], "c1 int, c2 int, c3 int"))
+    rows = asked.crossJoin(talk.words.select("word_id").unionByName(spark.createDataFrame([(999,)], "word_id int")))
+    levels = [sorted(map(tuple, N.levels(rows, *parts).collect())) for parts in ((talk.grams, talk.contexts), talk.around(asked), lean.around(asked))]
+    assert levels[0] == levels[1] == levels[2] and any(r[-1] > 0 for r in levels[0])
+    few = lean.around(asked.limit(1))
+    assert few[0].where("n = 1").count() == talk.words.count() + 1 and few[0].count() < talk.grams.count() and few[1].count() < talk.contexts.count()
+    rules = C.expanded(spark, [r for c in C.families().children if c.name in ("accents", "splits", "doubled") for r in c.active()])
+    asks = spark.createDataFrame(list(enumerate(["le ", "le ch", "", "zzz ", "le chatdort", "Le chat dort. chatn"])), "prompt_id long, before string")
+    how = Prediction(correction=True, wanted=9)
+    assert sorted(map(tuple, predict(asks, talk, how, rules=rules).collect())) == sorted(map(tuple, predict(asks, lean, how, rules=rules).collect()))
+
+
+def test_corrections_need_no_shares_of_the_whole_corpus(spark, monkeypatch):
+    """correct_words trains to the counts; a stage's own tables go once it is written."""
+    made = []
+    monkeypatch.setattr(registry, "_TRAINED", {})
+    monkeypatch.setattr(training, "discard", lambda df, f=training.discard: (made.extend(df.inputFiles()), f(df)))
+    assert registry.correct_words(spark, SF).count() > 0
+    (at, done), = registry._TRAINED.values()
+    assert training.STAGES[done] == "grams" and made and not any(os.path.exists(f.removeprefix("file:")) for f in made)
+    assert spark.read.parquet(f"{at}/grams").count() > 0
+
+
 def test_meanings(spark):
     text = "chat noir dort bien. chien noir dort mal. chat blanc mange bien, chien blanc mange mal."
     m = _train(spark, text, Training(valid_from=0))
