@@ -430,6 +430,29 @@ def test_texts_are_read_for_meanings_without_a_row_for_each_term(spark):
         assert {(int(x), int(y)): int(z) for x, y, z in zip(r, c, v, strict=True)} == want
 
 
+def test_meanings_are_of_all_words(spark):
+    """lsa_fill has every word as a row and as a column, as counted by hand; fewer columns are a part of that."""
+    spots = registry.durable(registry._spots(spark, SF))
+    texts = [r.ids for r in spots.collect()]
+    counts = {}
+    for w in (w for t in texts for w in t if w >= 0):
+        counts[w] = counts.get(w, 0) + 1
+    index = registry._index(spark, SF, spots)
+    order = sorted(counts, key=lambda w: (-counts[w], w))
+    assert len(order) > 500 and [(r.word_id, r.cnt, r.row, r.col) for r in index.orderBy("row").collect()] == [(w, counts[w], i, i) for i, w in enumerate(order)]
+    cells = set()
+    for t in ([w for w in t if w != M.APART] for t in texts):
+        for i, a in enumerate(t[:-3]):
+            for b in (b for j, b in enumerate(t[max(0, i - 3) : i + 4], max(0, i - 3)) if j != i):
+                if a >= 0 and b >= 0:
+                    cells |= {(a, b), (b, a)}
+    filled = registry.lsa_fill(spark, SF).collect()
+    assert [(r.cells, r.share) for r in filled] == [(len(cells), round(len(cells) / len(order) ** 2, 10))]
+    whole = {(r.row, r.col, r.value) for r in M.cooccurrences(spots, index, 6).collect()}
+    part = {(r.row, r.col, r.value) for r in M.cooccurrences(spots, M.indexed(spots, 50, 20), 6).collect()}
+    assert part == {x for x in whole if x[0] < 50 and x[1] < 20}
+
+
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_as_sql(spark, name):
     df = registry.queries()[name](spark, SF)
