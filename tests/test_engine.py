@@ -431,7 +431,7 @@ def test_texts_are_read_for_meanings_without_a_row_for_each_term(spark):
 
 
 def test_meanings_are_of_all_words(spark):
-    """lsa_fill has every word as a row and as a column, as counted by hand; fewer columns are a part of that."""
+    """lsa_fill and lsa_svd have every word as a row and as a column, as counted by hand; fewer columns are a part of that."""
     spots = registry.durable(registry._spots(spark, SF))
     texts = [r.ids for r in spots.collect()]
     counts = {}
@@ -448,6 +448,8 @@ def test_meanings_are_of_all_words(spark):
                     cells |= {(a, b), (b, a)}
     filled = registry.lsa_fill(spark, SF).collect()
     assert [(r.cells, r.share) for r in filled] == [(len(cells), round(len(cells) / len(order) ** 2, 10))]
+    vecs = registry.lsa_svd(spark, SF).collect()
+    assert sorted(r.word_id for r in vecs) == sorted({a for a, _ in cells}) and {(r.rank, r.length) for r in vecs} == {(8, 1.0)}
     whole = {(r.row, r.col, r.value) for r in M.cooccurrences(spots, index, 6).collect()}
     part = {(r.row, r.col, r.value) for r in M.cooccurrences(spots, M.indexed(spots, 50, 20), 6).collect()}
     assert part == {x for x in whole if x[0] < 50 and x[1] < 20}
