@@ -374,6 +374,16 @@ def test_corrections_need_no_shares_of_the_whole_corpus(spark, monkeypatch):
     assert spark.read.parquet(f"{at}/grams").count() > 0
 
 
+def test_accents_are_put_on_words_of_any_length(spark):
+    """correct_accents asks for every word of the vocabulary, short ones too, and trains to the counts alone."""
+    words = [r.word for r in registry.stage(spark, SF, "words").collect()]
+    plain = str.maketrans("éèêëàâîïôöùûüç", "eeeeaaiioouuuc")
+    assert {r.looked for r in registry._misspelt(spark, SF).collect()} == {w.lower().translate(plain) for w in words}
+    got = {(r.looked, r.word) for r in registry.correct_accents(spark, SF).collect()}
+    short = {(w.lower().translate(plain), w) for w in words if len(w) < 5 and w == w.lower() and w.translate(plain) != w}
+    assert short and short <= got
+
+
 def test_meanings(spark):
     text = "chat noir dort bien. chien noir dort mal. chat blanc mange bien, chien blanc mange mal."
     m = _train(spark, text, Training(valid_from=0))
