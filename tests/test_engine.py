@@ -3,6 +3,7 @@ import math
 import os
 import random
 import re
+from dataclasses import replace
 
 import duckdb
 import numpy as np
@@ -18,6 +19,7 @@ from wordloom.language import FRENCH, NONE
 from wordloom.operators import correction as C
 from wordloom.operators import dynamic as D
 from wordloom.operators import ngrams as N
+from wordloom.operators import prediction as P
 from wordloom.operators import semantic as M
 from wordloom.operators import vocabulary as V
 from wordloom.operators.prediction import predict
@@ -282,6 +284,30 @@ def test_predictions(spark, talk):
     assert debug[0].level == 3 and debug[0].dynamic_p == 0
 
 
+def test_typed_words_that_cannot_win_are_summed(spark, monkeypatch):
+    """Of 300 words with a prefix few are scored; ranks, shares and ties are those of scoring all of them."""
+    rng = np.random.default_rng(5)
+    names = [f"{a}b{c}{d}" for a in "aA" for c in "cdefghijklmnop" for d in "qrstuvwxyza"] + ["ab'", "abc'"]
+    text = "".join(f"le {names[int(rng.zipf(2.5)) % 308]} zut {name}. " for name in names)
+    m = _train(spark, text, Training(valid_from=0, lowered_from=2.0))
+    some = [r.word_id for r in m.words.where("startswith(word, 'ab')").orderBy("word_id").limit(4).collect()]
+    asks = [(i, t, x) for i, (t, x) in enumerate((t, x) for t in ["ab", "le ab", "zzz ab", "abcq le Ab", "le AB", "zut a", "l"] for x in (None, some))]
+    asks = spark.createDataFrame(asks, "prompt_id long, before string, exclude array<int>")
+    sizes, kept = [], P._typed_words
+    # With thin factors scores differ less than they are rounded: there all words are scored, and go by their texts.
+    thin = replace(m, words=m.words.withColumn("prob_factor", F.lit(1e-13)))
+
+    def asked(of):
+        rows = predict(asks, of, Prediction(wanted=3)).select("prompt_id", "rank", "display", F.round("score", 10)).collect()
+        return sorted(map(tuple, rows))
+
+    monkeypatch.setattr(P, "_typed_words", lambda *a: sizes.append(((out := kept(*a))[0].count(), P._every(a[1], a[2]).count())) or out)
+    few = [asked(m), asked(thin)]
+    assert all(own * 2 < every for own, every in sizes), sizes
+    monkeypatch.setattr(P, "_typed_words", lambda cases, used, begun, *a: (P._every(used, begun), None))
+    assert few == [asked(m), asked(thin)] and few[0] and [r[:3] for r in few[0]] != [r[:3] for r in few[1]]
+
+
 def test_spellings_of_a_text_lose_one(spark):
     m = _train(spark, "je vois Mot ici. je vois mot ici. je vois MOT ici. je vois Mot. tu vois MOT. je vois mot la. ", Training(valid_from=0, lowered_from=0.99))
     assert sorted(r.display for r in _ask(spark, m, "je vois ") if r.display.lower() == "mot") in (["MOT", "Mot"], ["Mot", "mot"], ["MOT", "mot"])
